@@ -75,13 +75,14 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def words(texts: list[bytes], letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(texts: list[bytes], of: str = "words") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text number, first byte, end byte) of every word of one chunk; bytes count from the chunk's start.
 
-    ``letters_only``: words are runs of letters instead of runs of non-spaces.
+    ``of``: "words" are runs of non-spaces, "letters" runs of letters, "lines" runs without a line feed.
     """
-    raw = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
-    inside = _LETTER[raw] if letters_only else ~_SPACE[raw]
+    glue = b"\n" if of == "lines" else b" "
+    raw = np.frombuffer(glue.join(texts) + glue, dtype=np.uint8)
+    inside = _LETTER[raw] if of == "letters" else raw != 10 if of == "lines" else ~_SPACE[raw]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):

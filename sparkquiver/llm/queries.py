@@ -7,8 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkquiver.llm._store import Store
+from sparkquiver.llm.decontaminate import find_leaks
 from sparkquiver.llm.exact_dedup import exact_dedup
+from sparkquiver.llm.licenses import find_licenses
+from sparkquiver.llm.packing import pack
+from sparkquiver.llm.quality import fit_quality, score_quality
+from sparkquiver.llm.secrets import find_secrets
 from sparkquiver.llm.sharding import shard
+from sparkquiver.llm.token_counts import count_tokens
+from sparkquiver.llm.toxicity import score_toxicity
+
+HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +39,59 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").filter(~HELD_OUT)
+    scored = score_toxicity(_documents(spark, sf_dir), labels)
+    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                         F.transform("evidence", lambda e: e["id"]).alias("evidence_ids"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = f"{Store(spark).root}/token-cache"  # a new cache, so that this call encodes whatever its documents need
+    counts = count_tokens(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), cache)
+    return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(_documents(spark, sf_dir))
+
+    def count(kind: str):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != "random")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.col("spans")).alias("spans"), count("random"))
+
+
 def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shard(_documents(spark, sf_dir), 40, seed=20240607)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_licenses(_documents(spark, sf_dir))
+    return found.select("doc_id", "canonical_sha256", "text_license", F.array_join("licenses", ",").alias("licenses"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_quality(docs, _table(spark, sf_dir, "labels").filter(~HELD_OUT))
+    return score_quality(docs, model).select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")).drop("ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_exact_dedup": op2_exact_dedup,
-    "op7_shard": op7_shard,
+    f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op4_token_counts, op5_decontaminate, op6_secrets, op7_shard, op8_licenses, op9_quality, op10_pack)
 }
 
 ORACLES: dict[str, str] = {
