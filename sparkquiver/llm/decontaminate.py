@@ -198,7 +198,7 @@ def _scan(benchmark):
                     start, size = i, 0
                 size += len(t)
             if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
+                kinds = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.float64(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["row", "item_id", "first_word", "similarity", "distance"])
 
     return run

@@ -64,17 +64,17 @@ def _gathered(rows: DataFrame) -> DataFrame:
     )
 
 
-def name_documents(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(info(id, code_points, sha), row, level, name): equal (level, name) means equal texts."""
+def name_documents(docs: DataFrame, store: Store, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(info(id, code_points, carry, sha), row, level, name): equal (level, name) means equal texts."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     cut = (
-        docs.select(F.col(id_col).alias("id"), F.length(text).cast("long").alias("code_points"),
+        docs.select(F.col(id_col).alias("id"), F.struct(F.lit(0).alias("none"), *carry).alias("carry"), F.length(text).cast("long").alias("code_points"),
                     F.encode(normalised(F.col(text_col)), "UTF-8").alias("norm"))
-        .select("id", "code_points", "norm", F.monotonically_increasing_id().alias("row"))
-        .select("row", "id", "code_points", "norm",
+        .select("id", "code_points", "carry", "norm", F.monotonically_increasing_id().alias("row"))
+        .select("row", "id", "code_points", "carry", "norm",
                 F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("norm") / BLOCK_BYTES).cast("int") - 1))).alias("pos"))
         .select("row", "pos",
-                F.when(F.col("pos") == 0, F.struct("id", "code_points", F.sha2("norm", 256).alias("sha"))).alias("info"),
+                F.when(F.col("pos") == 0, F.struct("id", "code_points", "carry", F.sha2("norm", 256).alias("sha"))).alias("info"),
                 F.substring("norm", F.col("pos") * BLOCK_BYTES + 1, F.lit(BLOCK_BYTES)).alias("block"))
     )
     open_ = store.put(_gathered(_named(cut, "block", store)))
@@ -99,8 +99,8 @@ def name_documents(docs: DataFrame, store: Store, id_col: str = "doc_id", text_c
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: (id, keep_id, group_size, kept, text_sha256).
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: (id, keep_id, group_size, kept, text_sha256) and the columns of ``carry``.
 
     Texts are equal when they are identical without white space (``[\\x20\\x09-\\x0D]``). Of equal texts the row
     with the most code points in its original text stays, then the one with the smallest id (a null id comes
@@ -109,10 +109,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     more than once and must give the same rows in the same partitions each time, as files do.
     """
     store = Store(docs.sparkSession)
-    named = store.put(name_documents(docs, store, id_col, text_col))
+    named = store.put(name_documents(docs, store, id_col, text_col, carry))
     order = F.struct((-F.col("info.code_points")).alias("shorter"), F.col("info.id").isNull().alias("no_id"),
                      F.col("info.id").alias("id"), F.col("row").alias("row"))
     groups = store.put(named.groupBy("level", "name").agg(F.min(order).alias("best"), F.count("*").alias("group_size")))
     return named.join(groups, ["level", "name"]).select(
         F.col("info.id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size",
-        (F.col("row") == F.col("best.row")).alias("kept"), F.col("info.sha").alias("text_sha256"))
+        (F.col("row") == F.col("best.row")).alias("kept"), F.col("info.sha").alias("text_sha256"), *(F.col(f"info.carry.{c}").alias(c) for c in carry))

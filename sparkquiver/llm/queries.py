@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquiver.llm._store import Store
 from sparkquiver.llm.decontaminate import find_leaks
 from sparkquiver.llm.exact_dedup import exact_dedup
 from sparkquiver.llm.licenses import find_licenses
+from sparkquiver.llm.near_dup import near_duplicates
 from sparkquiver.llm.packing import pack
 from sparkquiver.llm.quality import fit_quality, score_quality
 from sparkquiver.llm.secrets import find_secrets
@@ -18,7 +19,13 @@ from sparkquiver.llm.sharding import shard
 from sparkquiver.llm.token_counts import count_tokens
 from sparkquiver.llm.toxicity import score_toxicity
 
-HELD_OUT = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+#: From this score on a document counts as toxic.
+TOXIC = 0.5
+
+
+def held_out() -> Column:
+    """Rows that no model learns from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,14 +42,18 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_documents(spark, sf_dir))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _table(spark, sf_dir, "labels").filter(~HELD_OUT)
+    labels = _table(spark, sf_dir, "labels").filter(~held_out())
     scored = score_toxicity(_documents(spark, sf_dir), labels)
-    return scored.select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
                          F.transform("evidence", lambda e: e["id"]).alias("evidence_ids"))
 
 
@@ -82,8 +93,8 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    model = fit_quality(docs, _table(spark, sf_dir, "labels").filter(~HELD_OUT))
-    return score_quality(docs, model).select("doc_id", HELD_OUT.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    model = fit_quality(docs, _table(spark, sf_dir, "labels").filter(~held_out()))
+    return score_quality(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +102,22 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_toxicity, op4_token_counts, op5_decontaminate, op6_secrets, op7_shard, op8_licenses, op9_quality, op10_pack)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_exact_dedup, op3_toxicity, op4_token_counts, op5_decontaminate, op6_secrets, op7_shard, op8_licenses, op9_quality, op10_pack)
 }
 
 ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard": r"""
+        WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                               '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                                             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS shingle FROM t),
+        n AS (SELECT t.doc_id, count(s.shingle) AS n FROM t LEFT JOIN s USING (doc_id) GROUP BY t.doc_id),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS o FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * o >= 75 * (p.n + q.n - o)),
+        reach AS (SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT reach.x, link.y FROM reach JOIN link ON link.x = reach.y)
+        SELECT doc_id, n AS n_shingles, (SELECT min(y) FROM reach WHERE reach.x = doc_id) AS component_id,
+               (SELECT count(*) FROM link WHERE link.x = doc_id) AS n_links
+        FROM n""",
     "op2_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS cp,
                           regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS norm FROM documents)

@@ -182,7 +182,7 @@ def _vectors(vocabulary):
             found = term_counts(_text.as_bytes(b.column(1)), vocabulary.value)
             ends = np.cumsum([0] + [len(t) for t, _ in found])
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f[k] for f in found] or [np.empty(0)]).astype(np.int32))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["id", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists, *b.columns[2:]], ["id", "terms", "counts", *b.schema.names[2:]])
 
     return run
 
@@ -192,8 +192,8 @@ def _pairs(table) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text",
-                   label_col: str = "toxic") -> DataFrame:
-    """One row per input row: (id, score, evidence array<struct<id, label, cosine>>).
+                   label_col: str = "toxic", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: (id, score, evidence array<struct<id, label, cosine>>) and the columns of ``carry``.
 
     ``labels`` (id, label 0 or 1) are those to learn from; at most ``examples`` of each label are used, which
     bounds the index that is sent to executors. Ids must be integers. Rows of ``labels`` with a null are left out
@@ -204,7 +204,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     """
     spark = docs.sparkSession
     store = Store(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    more = "".join(f", carry_{i} {docs.select(F.col(c)).schema[0].dataType.simpleString()}" for i, c in enumerate(carry))
     known = store.put(labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
                       .groupBy("id").agg(F.max("label").alias("label")))
     total = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -221,7 +222,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
              .orderBy(F.desc("chi2"), "word").limit(VOCABULARY).collect())
     vocabulary = np.sort(np.array([r["word"] for r in words], dtype=np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(vocabulary)
-    vectors = store.put(rows.mapInArrow(_vectors(sent), "id long, terms array<int>, counts array<int>"))
+    vectors = store.put(rows.mapInArrow(_vectors(sent), f"id long, terms array<int>, counts array<int>{more}"))
     n_docs = vectors.count()
     having = np.zeros(len(vocabulary))
     for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # at most VOCABULARY rows
@@ -246,7 +247,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
                 part = batch.slice(at, BATCH)
                 score, shown = out.value.score(_pairs(part))
                 kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(shown, kind)], ["id", "score", "evidence"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(shown, kind), *part.columns[3:]], ["id", "score", "evidence", *part.schema.names[3:]])
 
-    return (vectors.mapInArrow(run, "id long, score double, evidence array<struct<id:long,label:int,cosine:double>>")
-            .select(F.col("id").alias(id_col), "score", "evidence"))
+    return (vectors.mapInArrow(run, f"id long, score double, evidence array<struct<id:long,label:int,cosine:double>>{more}")
+            .select(F.col("id").alias(id_col), "score", "evidence", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry))))
