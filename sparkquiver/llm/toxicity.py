@@ -22,9 +22,11 @@ from sparkquiver.llm._store import Store
 
 #: Most examples of each label, those with the smallest hashes of their ids, and most words of the vocabulary.
 EXAMPLES = 4096
-VOCABULARY = 2048
-#: A word is taken if so many examples have it and its chi-squared statistic is that large (p < 1e-5).
-LEAST_EXAMPLES, LEAST_CHI2 = 5, 19.5
+VOCABULARY = 512
+#: A word is taken if so many examples have it, as well as this share of the rarer label's (else the words of one
+#: group of copies look telling), if its chi-squared statistic is that large (p < 1e-5), and if examples of label 1
+#: have it so many times as often as others.
+LEAST_EXAMPLES, LEAST_SHARE, LEAST_CHI2, LEAST_LIFT = 5, 0.02, 19.5, 3.0
 NEIGHBOURS = 15
 BLOCK = 64
 #: Documents that are scored together.
@@ -218,7 +220,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     b, n = F.col("all") - F.col("ones"), n1 + n0
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (F.lit(float(max(n1, 1) * max(n0, 1))) * F.col("all") * (n - F.col("all")))
     words = (texts.mapInArrow(_words_of, "label int, word long").groupBy("word").agg(F.count("*").alias("all"), F.sum("label").alias("ones"))
-             .filter((F.col("all") >= LEAST_EXAMPLES) & (F.col("all") < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
+             .filter((F.col("all") >= max(LEAST_EXAMPLES, LEAST_SHARE * min(n1, n0))) & (F.col("all") < n))
+             .filter((a + 0.5) * max(n0, 1) >= LEAST_LIFT * (b + 0.5) * max(n1, 1))
+             .withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
              .orderBy(F.desc("chi2"), "word").limit(VOCABULARY).collect())
     vocabulary = np.sort(np.array([r["word"] for r in words], dtype=np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast(vocabulary)
@@ -227,7 +231,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     having = np.zeros(len(vocabulary))
     for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # at most VOCABULARY rows
         having[r["term"]] = r["count"]
-    idf = np.log((1 + n_docs) / (1 + having)) + 1
+    idf = np.log((1 + n_docs) / (1 + having)) + 1e-3
     table = vectors.join(F.broadcast(chosen), "id").limit(4 * examples).toArrow().combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
     label, ids = table.column("label").to_numpy().astype(np.int64), table.column("id").to_numpy().astype(np.int64)
     pairs = _pairs(table)
