@@ -75,24 +75,37 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def words(texts: list[bytes], of: str = "words") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, first byte, end byte) of every word of one chunk; bytes count from the chunk's start.
-
-    ``of``: "words" are runs of non-spaces, "letters" runs of letters, "lines" runs without a line feed.
-    """
+def _hashed(texts: list[bytes], of: str) -> tuple:
     glue = b"\n" if of == "lines" else b" "
     raw = np.frombuffer(glue.join(texts) + glue, dtype=np.uint8)
     inside = _LETTER[raw] if of == "letters" else raw != 10 if of == "lines" else ~_SPACE[raw]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(start):
-        none = np.empty(0, dtype=np.int64)
-        return np.empty(0, dtype=np.uint64), none, none, none
     up, down = _power(len(raw))
     sums = np.cumsum(_CODE_OF_LOWERED[raw] * up[: len(raw)], dtype=np.uint64)
-    total = sums[end - 1] - np.where(start > 0, sums[start - 1], np.uint64(0))
+    before = np.where(start > 0, sums[start - 1], np.uint64(0))
     ends_at = np.cumsum(np.fromiter((len(t) + 1 for t in texts), dtype=np.int64, count=len(texts)))
-    return mix(total * down[start]), np.searchsorted(ends_at, start, side="right"), start, end
+    return sums, before, down[start], np.searchsorted(ends_at, start, side="right"), start, end
+
+
+def words(texts: list[bytes], of: str = "words") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text number, first byte, end byte) of every word of one chunk; bytes count from the chunk's start.
+
+    ``of``: "words" are runs of non-spaces, "letters" runs of letters, "lines" runs without a line feed.
+    """
+    sums, before, down, number, start, end = _hashed(texts, of)
+    return mix((sums[end - 1] - before) * down), number, start, end
+
+
+def stems(texts: list[bytes], lengths: tuple[int, ...] = (4, 5, 6)) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text number) of every run of letters, and of its first bytes where it is longer than those."""
+    sums, before, down, number, start, end = _hashed(texts, "letters")
+    hashes, numbers = [mix((sums[end - 1] - before) * down)], [number]
+    for k in lengths:
+        longer = end - start > k
+        hashes.append(mix((sums[start[longer] + k - 1] - before[longer]) * down[longer] + np.uint64(k)))
+        numbers.append(number[longer])
+    return np.concatenate(hashes), np.concatenate(numbers)
 
 
 def runs(number: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-A bounded sample of labelled rows gives the examples and the vocabulary: the words most associated with the label
-by chi-squared. Document frequencies are counted over all documents. The index keeps, for each word and each
+Terms are words and the first letters of longer words. A bounded sample of labelled rows gives the examples and the
+vocabulary: the terms most associated with the label by chi-squared. Document frequencies are counted over all documents. The index keeps, for each word and each
 block of examples, postings and their largest weight; a block whose upper bound cannot reach a document's k-th
 best cosine is skipped, so the k nearest are exact. Their distance-weighted votes are calibrated by leave-one-out
 votes among the examples themselves.
@@ -9,6 +9,7 @@ votes among the examples themselves.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ VOCABULARY = 512
 #: A word is taken if so many examples have it, as well as this share of the rarer label's (else the words of one
 #: group of copies look telling), if its chi-squared statistic is that large (p < 1e-5), and if examples of label 1
 #: have it so many times as often as others.
-LEAST_EXAMPLES, LEAST_SHARE, LEAST_CHI2, LEAST_LIFT = 5, 0.02, 19.5, 3.0
+LEAST_EXAMPLES, LEAST_SHARE, LEAST_CHI2, LEAST_LIFT = 5, 0.02, 19.5, 2.0
 NEIGHBOURS = 15
 BLOCK = 64
 #: Documents that are scored together.
@@ -38,7 +39,7 @@ def term_counts(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.nda
     """Per text: ascending numbers of the vocabulary's words in it, and how often each occurs."""
     out = []
     for a, b in _text.chunks(texts):
-        h, number, _, _ = _text.words(texts[a:b], "letters")
+        h, number = _text.stems(texts[a:b])
         if len(vocabulary):
             at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
             hit = vocabulary[at] == h
@@ -67,7 +68,7 @@ class BlockMaxIndex:
         """Examples whose heaviest words are alike come next to each other, which makes the bounds tight."""
         unit = [_unit(t, c, idf) for t, c in vectors]
         lead = [tuple(t[np.argsort(-w, kind="stable")[:3]].tolist()) for (t, _), w in zip(vectors, unit)]
-        order = sorted((i for i in range(len(unit)) if len(unit[i])), key=lambda i: (lead[i], label[i], ids[i]))
+        order = sorted((i for i in range(len(unit)) if len(unit[i])), key=lambda i: (lead[i], zlib.crc32(str(ids[i]).encode()), ids[i]))
         postings, block_max = [], np.zeros((-(-len(order) // BLOCK), len(idf)), dtype=np.float32)
         for b in range(len(block_max)):
             part = order[b * BLOCK : (b + 1) * BLOCK]
@@ -80,7 +81,7 @@ class BlockMaxIndex:
         return BlockMaxIndex(block_max, postings, label[at], ids[at], idf)
 
     def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and numbers of the ``k`` nearest examples of each query, best first, ties by number; -1: none."""
+        """Cosines and numbers of the ``k`` nearest examples of each query, best first; -1: none."""
         best, who = np.zeros((len(queries), k), dtype=np.float32), np.full((len(queries), k), -1, dtype=np.int64)
         q = np.zeros((len(queries), len(self.idf)), dtype=np.float32)
         for i, (t, c) in enumerate(queries):
@@ -98,12 +99,14 @@ class BlockMaxIndex:
                 terms, places, weights, size = self.postings[b]
                 dense = np.zeros((len(self.idf), size), dtype=np.float32)
                 dense[terms, places] = weights
-                score = np.concatenate([best[rows], q[rows] @ dense], axis=1)
-                number = np.concatenate([who[rows], np.broadcast_to(np.arange(b * BLOCK, b * BLOCK + size), (len(rows), size))], axis=1)
-                number = np.where(score > _EPS, number, -1)
-                order = np.lexsort((number, -np.round(score, 6)), axis=1)[:, :k]
-                best[rows] = np.where(np.take_along_axis(number, order, axis=1) < 0, 0, np.take_along_axis(score, order, axis=1))
-                who[rows] = np.take_along_axis(number, order, axis=1)
+                score = q[rows] @ dense
+                # Later examples displace earlier ones only if they are nearer, so ties keep the order of blocks.
+                better = score.max(axis=1) > best[rows, -1] + _EPS / 10
+                rows, score = rows[better], np.where(score[better] > _EPS, score[better], 0)
+                number = np.where(score > 0, np.arange(b * BLOCK, b * BLOCK + size), -1)
+                score, number = np.concatenate([best[rows], score], axis=1), np.concatenate([who[rows], number], axis=1)
+                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                best[rows], who[rows] = np.take_along_axis(score, order, axis=1), np.take_along_axis(number, order, axis=1)
         return best, who
 
 
@@ -170,7 +173,7 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts, label = _text.as_bytes(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
         for i, j in _text.chunks(texts):
-            h, number, _, _ = _text.words(texts[i:j], "letters")
+            h, number = _text.stems(texts[i:j])
             order = np.lexsort((h, number))
             h, number = h[order], number[order]
             new = np.ones(len(h), dtype=bool)
