@@ -130,6 +130,9 @@ class Benchmark:
         items_with = Counter(s for c in self.counts for s in c)
         self.rarest = 1 + float(np.log(max(len(self.ids), 1)))
         self.weight = {s: self.rarest - float(np.log(n)) for s, n in items_with.items()}
+        # Distinct shingles of each item, ascending, with the weight of all their occurrences.
+        self.sorted = [np.array(sorted(c), dtype=np.uint64) for c in self.counts]
+        self.parts = [np.array([self.weight[x] * c[x] for x in sorted(c)]) for c in self.counts]
         by_class: dict[int, list[tuple[int, int]]] = {}
         for i, h in enumerate(self.words):
             length = grid_length(len(h))
@@ -148,6 +151,14 @@ class Benchmark:
         either += sum(self.weight.get(s, self.rarest) * m for s, m in window.items() if s not in own)
         return both / either if either else 0.0
 
+    def may_reach(self, item: int, shingles: np.ndarray) -> bool:
+        """Whether a window of a text with these shingles can be similar enough: what they share bounds it."""
+        own = self.sorted[item]
+        at = np.minimum(np.searchsorted(own, shingles), len(own) - 1)
+        hit = np.zeros(len(own), dtype=bool)
+        hit[at[own[at] == shingles]] = True
+        return float(self.parts[item][hit].sum()) >= (SIMILARITY - 1e-9) * float(self.parts[item].sum())
+
     def best_window(self, item: int, hashes: np.ndarray, near: list[int]) -> tuple[float, int]:
         """The most similar window of the item's length, or the whole text if that is shorter, around candidates."""
         n = len(self.words[item])
@@ -174,8 +185,11 @@ class Benchmark:
             inside = text == number[window + length - 1]
             for w, i, t, d in zip(window[inside].tolist(), items[who[inside]].tolist(), text[inside].tolist(), distance[inside].tolist()):
                 seen.setdefault((t, i), []).append((w - int(first[t]), d))
+        fives = _text.window_hash(hashes, _text.SHINGLE_WORDS)
         for (t, i), hits in sorted(seen.items()):
             own = hashes[first[t] : first[t] + size[t]]
+            if len(self.words[i]) >= _text.SHINGLE_WORDS <= len(own) and not self.may_reach(i, fives[first[t] : first[t] + size[t] - _text.SHINGLE_WORDS + 1]):
+                continue
             value, at = self.best_window(i, own, sorted({s for s, _ in hits}))
             if value >= SIMILARITY:
                 yield t, self.ids[i], at, value, min(d for _, d in hits)
