@@ -48,12 +48,18 @@ def test_ngram_jaccard(spark, docs):
     assert {r[0] for r in kept} == {c if d is None else d for c, d in component}
 
 
-def test_toxicity_and_decontamination(spark, docs):
-    out = STAGES["toxicity"](spark, docs, SF)
-    assert out.columns == docs.columns and 0 < out.count() <= docs.count()
-    insults = F.col("text").rlike(r"(?i)\b(idiot|moron|scum)\b")
-    assert out.filter(insults).count() < 0.5 * docs.filter(insults).count()
-    assert out.filter(~insults | F.col("text").isNull()).count() > 0.95 * docs.filter(~insults | F.col("text").isNull()).count()
+def test_toxicity(spark):
+    sf_dir = SF.replace("0.001", "0.01")  # the smallest table has too few toxic labels to learn from
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(spark.createDataFrame(ODD, spark.read.parquet(f"{sf_dir}/documents.parquet").schema))
+    out = Store(spark).put(STAGES["toxicity"](spark, docs, sf_dir))
+    assert out.columns == docs.columns
+    toxic = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    count = lambda d, y: d.join(toxic.filter(F.col("toxic") == y), "doc_id", "left_semi").count()
+    assert count(out, 1) < 0.5 * count(docs, 1) and count(out, 0) > 0.97 * count(docs, 0)
+    assert out.filter("doc_id > 9000 OR doc_id IS NULL").count() == len(ODD)
+
+
+def test_decontamination(spark, docs):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
     more = docs.unionByName(docs.limit(1).withColumn("doc_id", F.lit(9999).cast("long")).withColumn("text", F.concat(F.lit("so it begins "), F.lit(item), F.lit(" and ends"))))
     clean = STAGES["benchmark decontamination"](spark, more, SF)
