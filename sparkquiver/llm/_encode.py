@@ -20,8 +20,9 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 
-#: Distinct units that a worker remembers; beyond it, it starts anew. Bounds a worker's memory, not the result.
-CACHE_UNITS = 600_000
+#: Distinct units in each of a worker's two generations of memory. When the younger one is full it becomes the older
+#: one, and what is met again moves up. This bounds a worker's memory, not the result.
+CACHE_UNITS = 400_000
 #: Bytes of text that are split into units at a time.
 GROUP_BYTES = 1 << 21
 #: Longer units are encoded without being remembered.
@@ -29,6 +30,7 @@ UNIT_BYTES = 256
 
 _UNIT = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 _CUT = re.compile(rb"(?<![ \t-\r])[ \t-\r]")
+_ALNUM = b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 _RARE_FIRST = (b"\xc2", b"\xe1", b"\xe2", b"\xe3")
 _RARE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8-\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 _ASCII_RARE = (b"\x1c", b"\x1d", b"\x1e", b"\x1f")
@@ -85,7 +87,9 @@ class Encoder:
 
     def __init__(self, file: TokenizerFile, counts_only: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.kind, self.counts_only, self.cache = file.kind, counts_only, {}
+        self.kind, self.counts_only = file.kind, counts_only
+        self.cache: dict[bytes, object] = {}
+        self.older: dict[bytes, object] = {}
         if file.name.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -134,24 +138,34 @@ class Encoder:
         if group:
             yield group
 
+    def _remember(self, units: set[bytes]) -> dict[bytes, object]:
+        """Put all ``units`` into the cache; returns those that are not to be kept."""
+        if len(self.cache) > CACHE_UNITS:
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        new = units - cache.keys()
+        for u in new & older.keys():
+            cache[u] = older[u]
+        new -= cache.keys()
+        # A comma or full stop after an ASCII letter or digit is a piece of its own in either kind of pattern.
+        parts = {u: (u[:-1], u[-1:]) for u in new if len(u) > 1 and u[-1] in b",." and u[-2] in _ALNUM}
+        order = list((new - parts.keys()).union(*parts.values()) - cache.keys())
+        found = dict(zip(order, self._values(order)))
+        own = {k: found.pop(k) for k in order if len(k) > UNIT_BYTES}
+        cache.update(found)
+        get = (lambda u: own[u] if u in own else cache[u]) if own else cache.__getitem__
+        for u, (head, tail) in parts.items():
+            (own if len(u) > UNIT_BYTES else cache)[u] = get(head) + get(tail)
+        return own
+
     def encode(self, texts: list[bytes]) -> list:
         """For each text its number of ids, or its ids as little-endian unsigned 32-bit numbers."""
         out: list = [0 if self.counts_only else b""] * len(texts)
-        cache = self.cache
         for group in self._grouped(texts):
             split = [self._units(t) for _, t in group]
-            new = set().union(*(u for u in split if u)) - cache.keys()
-            own = {}
-            if new:
-                if len(cache) + len(new) > CACHE_UNITS:
-                    cache.clear()
-                    new = set().union(*(u for u in split if u))
-                order = list(new)
-                found = dict(zip(order, self._values(order)))
-                if len(found) > CACHE_UNITS or max(map(len, order)) > UNIT_BYTES:
-                    own = {k: found.pop(k) for k in order if len(k) > UNIT_BYTES or len(found) > CACHE_UNITS}
-                cache.update(found)
-            get = (cache | own).__getitem__ if own else cache.__getitem__
+            own = self._remember(set().union(*(u for u in split if u)))
+            cache = self.cache
+            get = (lambda u, own=own, cache=cache: own[u] if u in own else cache[u]) if own else cache.__getitem__
             for (i, text), units in zip(group, split):
                 if units is None:
                     value = next(self._values([text]))
