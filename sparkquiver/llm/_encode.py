@@ -22,7 +22,7 @@ from collections.abc import Iterable, Iterator
 
 #: Distinct units in each of a worker's two generations of memory. When the younger one is full it becomes the older
 #: one, and what is met again moves up. This bounds a worker's memory, not the result.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 300_000
 #: Bytes of text that are split into units at a time.
 GROUP_BYTES = 1 << 21
 #: Longer units are encoded without being remembered.

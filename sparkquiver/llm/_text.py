@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 SHINGLE_WORDS = 5
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -156,6 +156,12 @@ def document_shingles(texts: list[bytes]) -> Iterator[tuple[int, list[np.ndarray
         yield a, shingles(h, number, b - a)
 
 
+def slices(batch, rows: int = 512):
+    """Parts of an Arrow batch, so that what is made of them is not all in memory at once."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def as_bytes(column) -> list[bytes]:
     """UTF-8 of each text of an Arrow array of strings; null is empty."""
     import pyarrow as pa

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkquiver.llm._encode import TokenizerFile, encoder
 from sparkquiver.llm._store import Store
-from sparkquiver.llm._text import as_bytes
+from sparkquiver.llm._text import as_bytes, slices
 
 CAPACITY = 2048
 #: A bin with at most this many free tokens is final.
@@ -75,7 +75,7 @@ def _local(file, capacity: int, end_id: int, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end, step = encoder(file.value, counts_only=False), np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
         ids, piece, start, length, crc, raw = [], [], [], [], [], []
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             for doc, data in zip(b.column(0).to_pylist(), own.encode(as_bytes(b.column(1)))):
                 data += end
                 for k, at in enumerate(range(0, len(data), step)):

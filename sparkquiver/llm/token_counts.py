@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from sparkquiver.llm._encode import TokenizerFile, encoder
 from sparkquiver.llm._store import Store
-from sparkquiver.llm._text import as_bytes
+from sparkquiver.llm._text import as_bytes, slices
 
 CACHE_SCHEMA = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
                              T.StructField("tokenizer", T.StringType())])
@@ -32,7 +32,7 @@ def _counts(file):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file.value, counts_only=True)
         for b in batches:
-            n = own.encode(as_bytes(b.column(1)))
+            n = [x for part in slices(b) for x in own.encode(as_bytes(part.column(1)))]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.binary()), pa.array(n, pa.int64())], ["content", "n_tokens"])
 
     return run
