@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquiver.llm._store import Store
+from sparkquiver.llm._text import slices
 
 COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
 PUNCTUATION = "[\\x00-/:-@\\[-`{-\\x7f‘’“”–—©®™]+"
@@ -29,7 +32,7 @@ SPELLINGS = (
     ("labour", "labor"), ("maximise", "maximize"), ("modelled", "modeled"), ("modelling", "modeling"),
     ("offence", "offense"), ("optimise", "optimize"), ("organisation", "organization"), ("organise", "organize"),
     ("practise", "practice"), ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"),
-    ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"),
+    ("signalling", "signaling"), ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"),
     ("https", "http"), ("per cent", "percent"), ("copyright owner", "copyright holder"),
 )
 
@@ -79,35 +82,50 @@ KNOWN = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 )
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_SPACED = str.maketrans({c: " " for c in map(chr, range(0x3000)) if re.fullmatch(PUNCTUATION, c)})
+_ONE_WORD = {old: new for old, new in SPELLINGS if " " not in old}
+_TWO_WORDS = tuple((f" {old} ", f" {new} ") for old, new in SPELLINGS if " " in old)
+
+
+def _words(text: str) -> list[str]:
+    """Canonical words of a text in lower case without copyright lines, but for pairs of words."""
+    return [_ONE_WORD.get(w, w) for w in text.translate(_SPACED).split(" ") if w]
+
+
+def _joined(words: list[str]) -> str:
+    t = f" {' '.join(words)} "
+    for old, new in _TWO_WORDS:
+        if old in t:
+            t = t.replace(old, new)
+    return t.strip(" ")
+
+
+def _prepared(text: str) -> str:
+    t = text.translate(_LOWERED)
+    return re.sub(COPYRIGHT_LINE, "\n", t) if "copyright" in t or "(c)" in t or "©" in t else t
 
 
 def canonical_text(text: str) -> str:
     """The canonical form of one text."""
-    t = text.translate(str.maketrans(_UPPER, _LOWER))
-    t = re.sub(COPYRIGHT_LINE, "\n", t)
-    t = re.sub(PUNCTUATION, " ", t)
-    t = f" {t.strip(' ')} "
-    for old, new in SPELLINGS:
-        t = t.replace(f" {old} ", f" {new} ")
-    return t.strip(" ")
+    return _joined(_words(_prepared(text)))
 
 
-def _canonical(text: Column) -> Column:
-    """The same as an expression. Spellings are replaced only in texts of a length that a known text may come from."""
-    t = F.regexp_replace(F.regexp_replace(F.translate(text, _UPPER, _LOWER), COPYRIGHT_LINE, "\n"), PUNCTUATION, " ")
-    return F.concat(F.lit(" "), F.trim(t), F.lit(" "))
+def _digest(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
-def _spelled(canonical: Column) -> Column:
-    for old, new in SPELLINGS:
-        canonical = F.replace(canonical, F.lit(f" {old} "), F.lit(f" {new} "))
-    return F.trim(canonical)
+def digests_of(text: str, longest: int) -> tuple[str, list[str]]:
+    """Digest of the whole canonical text, and the distinct ones of its lines of at most ``longest`` code points."""
+    lines = [_words(line) for line in _prepared(text).split("\n")]
+    whole = _joined([w for line in lines for w in line])
+    texts = {_joined(line) for line in lines if line and sum(map(len, line)) <= longest}
+    return _digest(whole), sorted(_digest(t) for t in texts if t and len(t) <= longest)
 
 
 def known_digests(known: tuple[tuple[str, str], ...] = KNOWN) -> dict[str, str]:
     """Licence by digest."""
-    return {hashlib.sha256(canonical_text(text).encode()).hexdigest(): name for name, text in known}
+    return {_digest(canonical_text(text)): name for name, text in known}
 
 
 def find_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -123,17 +141,17 @@ def find_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, i
         raise ValueError("more than 10,000 known texts are not sent with a query")
     spark = docs.sparkSession
     store = Store(spark)
-    digests = {k: v for k, v in known_digests(known).items() if k != hashlib.sha256(b"").hexdigest()}
-    grown = sum(max(0, len(b) - len(a)) for a, b in SPELLINGS)
-    longest = max((len(canonical_text(t)) for _, t in known), default=0) * 2 + grown
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text.alias("text"))
-    lines = F.transform(F.split("text", "\n"), _canonical)
-    rows = rows.select("row", "id", _canonical(F.col("text")).alias("whole"), lines.alias("lines"))
-    # Spellings shorten or lengthen a text by a little; one that is far longer than any known text is none of them.
-    short = F.filter("lines", lambda x: (F.length(x) > 2) & (F.length(x) <= longest))
-    rows = store.put(rows.select("row", "id", F.sha2(_spelled(F.col("whole")), 256).alias("whole"),
-                                 F.array_distinct(F.transform(short, lambda x: F.sha2(_spelled(x), 256))).alias("digests")))
+    digests = {k: v for k, v in known_digests(known).items() if k != _digest("")}
+    longest = max((len(canonical_text(t)) for _, t in known), default=0)  # a longer line is none of them
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for whole in batches for part in slices(whole)):
+            found = [digests_of(t or "", longest) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([w for w, _ in found]), pa.array([d for _, d in found], pa.list_(pa.string()))],
+                                             ["row", "id", "whole", "digests"])
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = store.put(rows.mapInArrow(scan, f"row long, id {rows.schema['id'].dataType.simpleString()}, whole string, digests array<string>"))
     table = F.broadcast(spark.createDataFrame(sorted(digests.items()), "digest string, license string"))
     every = rows.select("row", F.explode(F.array_union("digests", F.array("whole"))).alias("digest"))
     found = every.join(table, "digest").groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("licenses"))
