@@ -1,10 +1,14 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
+"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the first letters of longer words. A bounded sample of labelled rows gives the examples and the
-vocabulary: the terms most associated with the label by chi-squared. Document frequencies are counted over all documents. The index keeps, for each word and each
-block of examples, postings and their largest weight; a block whose upper bound cannot reach a document's k-th
-best cosine is skipped, so the k nearest are exact. Their distance-weighted votes are calibrated by leave-one-out
-votes among the examples themselves.
+Terms are words and the first letters of longer words. A bounded sample of labelled rows gives the examples, and all
+their terms are indexed. Document frequencies are counted over all documents; a term that no example has counts as
+one of a single document, and takes part in the norm. The cosines of whole texts with all examples are computed: by
+a matrix product for the terms of most examples, by postings for the others.
+
+A second view has only the telling terms, those most associated with the label by chi-squared. Its index keeps, for
+each term and each block of examples, postings and their largest weight; a block whose upper bound cannot reach a
+document's k-th best cosine is skipped, so the k nearest are exact in both views. The distance-weighted votes of both
+are calibrated together by leave-one-out votes among the examples themselves.
 """
 
 from __future__ import annotations
@@ -21,10 +25,10 @@ from pyspark.sql import functions as F
 from sparkquiver.llm import _text
 from sparkquiver.llm._store import Store
 
-#: Most examples of each label, those with the smallest hashes of their ids, and most words of the vocabulary.
+#: Most examples of each label, those with the smallest hashes of their ids, and most telling terms.
 EXAMPLES = 4096
 VOCABULARY = 512
-#: A word is taken if so many examples have it, as well as this share of the rarer label's (else the words of one
+#: A term is telling if so many examples have it, as well as this share of the rarer label's (else the words of one
 #: group of copies look telling), if its chi-squared statistic is that large (p < 1e-5), and if examples of label 1
 #: have it so many times as often as others.
 LEAST_EXAMPLES, LEAST_SHARE, LEAST_CHI2, LEAST_LIFT = 5, 0.02, 19.5, 2.0
@@ -32,23 +36,32 @@ NEIGHBOURS = 15
 BLOCK = 64
 #: Documents that are scored together.
 BATCH = 1024
+#: Terms of the most examples, whose cosines are a matrix product, and postings that are added up at a time.
+DENSE, HITS = 1024, 1 << 20
+#: Documents whose cosines with all examples are in memory at a time.
+ROWS = 128
+#: Distance that counts as none in votes of whole texts: a copy outweighs all other neighbours.
+COPY = 0.001
 _EPS = 1e-5
 
 
-def term_counts(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text: ascending numbers of the vocabulary's words in it, and how often each occurs."""
+def term_counts(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """Per text: ascending numbers of the vocabulary's terms in it, how often each occurs, and the sum of the squares
+    of 1 + log of how often each of its other terms does."""
     out = []
     for a, b in _text.chunks(texts):
         h, number = _text.stems(texts[a:b])
-        if len(vocabulary):
-            at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-            hit = vocabulary[at] == h
-            key, times = np.unique(number[hit] * len(vocabulary) + at[hit], return_counts=True)
-            text, term = np.divmod(key, len(vocabulary))
-        else:
-            text = term = times = np.empty(0, dtype=np.int64)
+        distinct, which = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(vocabulary, distinct), max(len(vocabulary) - 1, 0))
+        hit = vocabulary[at] == distinct if len(vocabulary) else np.zeros(len(distinct), dtype=bool)
+        key, times = np.unique(number * max(len(distinct), 1) + which, return_counts=True)
+        text, term = np.divmod(key, max(len(distinct), 1))
+        known = hit[term]
+        rest = np.bincount(text[~known], weights=(1 + np.log(times[~known])) ** 2, minlength=b - a)
+        # Hashes ascend as the vocabulary does, so each text's terms do.
+        text, term, times = text[known], at[term[known]], times[known]
         cut = np.searchsorted(text, np.arange(b - a + 1))
-        out += [(term[i:j], times[i:j]) for i, j in zip(cut[:-1], cut[1:])]
+        out += [(term[i:j], times[i:j], float(r)) for i, j, r in zip(cut[:-1], cut[1:], rest)]
     return out
 
 
@@ -116,9 +129,84 @@ def _unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return w / norm if norm else w
 
 
-def votes(cosine: np.ndarray, label: np.ndarray, valid: np.ndarray) -> np.ndarray:
-    """Votes for label 1, each weighted by its nearness; nan without a neighbour."""
-    weight = np.where(valid, 1 / (0.05 + np.maximum(0, 1 - cosine)), 0)
+@dataclass
+class WholeIndex:
+    """Examples as unit vectors of all their terms: rows of a matrix for the ``DENSE`` terms that the most examples
+    have (``place`` of a term, or -1), and postings by term (from ``first`` on) for the others."""
+
+    place: np.ndarray
+    matrix: np.ndarray
+    first: np.ndarray
+    who: np.ndarray
+    weight: np.ndarray
+    idf: np.ndarray
+    alone: float
+
+    @staticmethod
+    def build(vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, alone: float, dense: int = DENSE) -> WholeIndex:
+        """``alone``: the inverse document frequency of a term that no example has."""
+        terms = np.concatenate([t for t, _ in vectors] or [np.empty(0, dtype=np.int64)])
+        weights = np.concatenate([_unit(t, c, idf) for t, c in vectors] or [np.empty(0)]).astype(np.float32)
+        who = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        having = np.bincount(terms, minlength=len(idf))
+        place = np.full(len(idf), -1, dtype=np.int32)
+        common = np.argsort(-having, kind="stable")[:dense]
+        place[common] = np.arange(len(common))
+        matrix = np.zeros((len(common), len(vectors)), dtype=np.float32)
+        often = place[terms] >= 0
+        matrix[place[terms[often]], who[often]] = weights[often]
+        terms, weights, who = terms[~often], weights[~often], who[~often]
+        order = np.argsort(terms, kind="stable")
+        first = np.append(0, np.cumsum(np.bincount(terms, minlength=len(idf))))
+        return WholeIndex(place, matrix, first, who[order], weights[order], idf, alone)
+
+    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray) -> np.ndarray:
+        """Of each query, whose terms that no example has are in ``rest``, with each example."""
+        n, size = len(queries), self.matrix.shape[1]
+        terms = np.concatenate([t for t, _ in queries])
+        text = np.repeat(np.arange(n), [len(t) for t, _ in queries])
+        w = (1 + np.log(np.concatenate([c for _, c in queries]))) * self.idf[terms]
+        norm = np.sqrt(np.bincount(text, weights=w * w, minlength=n) + rest * self.alone**2)
+        w = w / norm[text]
+        often = self.place[terms] >= 0
+        q = np.zeros((n, len(self.matrix)), dtype=np.float32)
+        q[text[often], self.place[terms[often]]] = w[often]
+        out = (q @ self.matrix).ravel()
+        terms, text, w = terms[~often], text[~often], w[~often]
+        many = self.first[terms + 1] - self.first[terms]
+        upto = np.cumsum(many)
+        i = 0
+        while i < len(terms):
+            j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + HITS, side="right")))
+            m = many[i:j]
+            at = np.arange(m.sum()) + np.repeat(self.first[terms[i:j]] - (np.cumsum(m) - m), m)
+            low, high = text[i] * size, (text[j - 1] + 1) * size
+            cell = np.repeat(text[i:j] * size - low, m) + self.who[at]
+            out[low:high] += np.bincount(cell, weights=self.weight[at] * np.repeat(w[i:j], m), minlength=high - low)
+            i = j
+        return out.reshape(n, size)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and numbers of the ``k`` nearest examples of each query, best first, the first of equals; -1: none."""
+        best, who = np.zeros((len(queries), k), dtype=np.float32), np.full((len(queries), k), -1, dtype=np.int64)
+        size = self.matrix.shape[1]
+        if not size:
+            return best, who
+        for a in range(0, len(queries), ROWS):
+            cosine = self.cosines(queries[a : a + ROWS], rest[a : a + ROWS])
+            # Equal but for rounding is equal, and then the number decides.
+            key = np.rint(cosine / _EPS).astype(np.int64) * size + np.arange(size - 1, -1, -1)
+            top = np.argpartition(-key, k, axis=1)[:, :k] if size > k else np.broadcast_to(np.arange(size), key.shape)
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, axis=1), axis=1), axis=1)
+            found = np.take_along_axis(cosine, top, axis=1)
+            some = found > _EPS
+            best[a : a + ROWS, : top.shape[1]], who[a : a + ROWS, : top.shape[1]] = np.where(some, found, 0), np.where(some, top, -1)
+        return best, who
+
+
+def votes(cosine: np.ndarray, label: np.ndarray, valid: np.ndarray, least: float = 0.05) -> np.ndarray:
+    """Votes for label 1, each weighted by its nearness, from distance ``least`` on; nan without a neighbour."""
+    weight = np.where(valid, 1 / (least + np.maximum(0, 1 - cosine)), 0)
     total = weight.sum(axis=1)
     return np.where(total > 0, (weight * label).sum(axis=1) / np.maximum(total, 1e-12), np.nan)
 
@@ -128,44 +216,87 @@ def _logit(vote: np.ndarray) -> np.ndarray:
     return np.log(v / (1 - v))
 
 
+def _design(whole: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """Columns of the fit: one, the vote of whole texts, that of telling terms, and whether there is one."""
+    some = ~np.isnan(telling)
+    return np.stack([np.ones(len(whole)), _logit(whole), np.where(some, _logit(np.where(some, telling, 0.5)), 0), some], axis=1)
+
+
 @dataclass
 class Model:
-    vocabulary: np.ndarray
-    index: BlockMaxIndex
-    slope: float
-    shift: float
+    whole: WholeIndex
+    telling: BlockMaxIndex
+    number: np.ndarray  # of each term among the telling ones, or -1
+    label: np.ndarray
+    ids: np.ndarray
+    beta: np.ndarray
     alone: float
 
-    def score(self, queries: list[tuple[np.ndarray, np.ndarray]], evidence: int = 5) -> tuple[np.ndarray, list[list[dict]]]:
-        cosine, who = self.index.nearest(queries, NEIGHBOURS)
-        valid = who >= 0
-        label = np.where(valid, self.index.label[np.maximum(who, 0)] if len(self.index.label) else 0, 0)
-        vote = votes(cosine, label, valid)
-        some = ~np.isnan(vote)
-        score = np.full(len(vote), self.alone)
-        score[some] = 1 / (1 + np.exp(-(self.slope * _logit(vote[some]) + self.shift)))
-        shown = [[{"id": int(self.index.ids[j]), "label": int(self.index.label[j]), "cosine": float(c)} for j, c in zip(w[:evidence], s[:evidence]) if j >= 0]
+    def told(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The telling terms of each query."""
+        return [(self.number[t][hit], c[hit]) for t, c in queries for hit in (self.number[t] >= 0,)]
+
+    def both_votes(self, queries: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Votes of whole texts and of telling terms, and the former's cosines and numbers; ``own``: ids that do not vote on their query."""
+        k, out = NEIGHBOURS + (own is not None), []
+        for (cosine, who), label, ids, least in ((self.whole.nearest(queries, rest, k), self.label, self.ids, COPY),
+                                                 (self.telling.nearest(self.told(queries), k), self.telling.label, self.telling.ids, 0.05)):
+            valid = who >= 0
+            at = np.maximum(who, 0)
+            if own is not None and len(ids):
+                valid &= ids[at] != own[:, None]
+            out += [votes(cosine, np.where(valid, label[at] if len(label) else 0, 0), valid, least), cosine, who]
+        return out[0], out[3], out[1], out[2]
+
+    def score(self, queries: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray, evidence: int = 5) -> tuple[np.ndarray, list[list[dict]]]:
+        whole, telling, cosine, who = self.both_votes(queries, rest)
+        some = ~np.isnan(whole)
+        score = np.full(len(whole), self.alone)
+        score[some] = 1 / (1 + np.exp(-(_design(whole[some], telling[some]) @ self.beta)))
+        shown = [[{"id": int(self.ids[j]), "label": int(self.label[j]), "cosine": float(c)} for j, c in zip(w[:evidence], s[:evidence]) if j >= 0]
                  for w, s in zip(who, cosine)]
         return score, shown
 
 
-def calibrate(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    """Slope and shift of a weighted logistic fit of label on the votes' logits, and the rate without neighbours."""
-    none = np.isnan(vote)
-    prior = (weight * label).sum() / max(weight.sum(), 1e-12)
-    alone = ((weight * label)[none].sum() + prior) / (weight[none].sum() + 1)
-    x, y, w = _logit(vote[~none]), label[~none].astype(float), weight[~none]
-    beta = np.array([1.0, 0.0])
-    design = np.stack([x, np.ones_like(x)], axis=1)
+def _fit(design: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Coefficients of a weighted logistic fit."""
+    beta, ridge = start, np.eye(len(start)) * 0.01
     for _ in range(50):
         p = 1 / (1 + np.exp(-design @ beta))
         grad = design.T @ (w * (y - p)) - 0.01 * beta
-        hess = (design * (w * p * (1 - p))[:, None]).T @ design + np.eye(2) * 0.01
+        hess = (design * (w * p * (1 - p))[:, None]).T @ design + ridge
         step = np.linalg.solve(hess, grad)
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(max(beta[0], 0.0)), float(beta[1]), float(alone)
+    return beta
+
+
+def _rate(none: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
+    """The rate of label 1 among examples without neighbours, drawn to that of all."""
+    prior = (weight * label).sum() / max(weight.sum(), 1e-12)
+    return float(((weight * label)[none].sum() + prior) / (weight[none].sum() + 1))
+
+
+def calibrate(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
+    """Slope and shift of a weighted logistic fit of label on the votes' logits, and the rate without neighbours."""
+    none = np.isnan(vote)
+    x = _logit(vote[~none])
+    beta = _fit(np.stack([x, np.ones_like(x)], axis=1), label[~none].astype(float), weight[~none], np.array([1.0, 0.0]))
+    return float(max(beta[0], 0.0)), float(beta[1]), _rate(none, label, weight)
+
+
+def calibrate_both(whole: np.ndarray, telling: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients for the columns of both votes, those of votes not negative, and the rate without telling terms."""
+    none = np.isnan(whole)
+    design, y, w = _design(whole[~none], telling[~none]), label[~none].astype(float), weight[~none]
+    use = np.ones(4, dtype=bool)
+    while True:
+        beta = np.zeros(4)
+        beta[use] = _fit(design[:, use], y, w, np.array([0.0, 1.0, 1.0, 0.0])[use])
+        if (beta[1:3] >= 0).all():
+            return beta, _rate(np.isnan(telling), label, weight)
+        use[1:3] &= beta[1:3] >= 0
 
 
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,17 +314,20 @@ def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _vectors(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _text.slices(whole)):
             found = term_counts(_text.as_bytes(b.column(1)), vocabulary.value)
-            ends = np.cumsum([0] + [len(t) for t, _ in found])
+            ends = np.cumsum([0] + [len(f[0]) for f in found])
             lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f[k] for f in found] or [np.empty(0)]).astype(np.int32))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists, *b.columns[2:]], ["id", "terms", "counts", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array([f[2] for f in found], pa.float64()), *b.columns[2:]], ["id", "terms", "counts", "rest", *b.schema.names[2:]])
 
     return run
 
 
 def _pairs(table) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.array(t, dtype=np.int64), np.array(c, dtype=np.int64)) for t, c in zip(table.column("terms").to_pylist(), table.column("counts").to_pylist())]
+    terms, counts = (table.column(k).combine_chunks() if isinstance(table, pa.Table) else table.column(k) for k in ("terms", "counts"))
+    ends = np.append(0, np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False)))
+    t, c = terms.flatten().to_numpy(), counts.flatten().to_numpy()
+    return [(t[i:j].astype(np.int64), c[i:j]) for i, j in zip(ends[:-1], ends[1:])]
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text",
@@ -202,8 +336,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
 
     ``labels`` (id, label 0 or 1) are those to learn from; at most ``examples`` of each label are used, which
     bounds the index that is sent to executors. Ids must be integers. Rows of ``labels`` with a null are left out
-    and an id with several labels has its largest. A null text counts as empty; a text without any word of the
-    vocabulary has no neighbours, no evidence, and the rate of such examples as its score. Without labels every
+    and an id with several labels has its largest. A null text counts as empty; a text that shares no term with
+    any example has no neighbours, no evidence, and the rate of examples without telling terms as its score. ``evidence`` is the nearest
+    whole texts. Without labels every
     score is 0. Repeated rows and null ids are rows like others. An empty table gives an empty result. Other
     columns are not read.
     """
@@ -222,39 +357,44 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     a, n1, n0 = F.col("ones"), taken.get(1, 0), taken.get(0, 0)
     b, n = F.col("all") - F.col("ones"), n1 + n0
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (F.lit(float(max(n1, 1) * max(n0, 1))) * F.col("all") * (n - F.col("all")))
+    tells = ((F.col("all") >= max(LEAST_EXAMPLES, LEAST_SHARE * min(n1, n0))) & (F.col("all") < n)
+             & ((a + 0.5) * max(n0, 1) >= LEAST_LIFT * (b + 0.5) * max(n1, 1)) & (chi2 >= LEAST_CHI2))
+    # As many rows as the examples have terms, numbers only.
     words = (texts.mapInArrow(_words_of, "label int, word long").groupBy("word").agg(F.count("*").alias("all"), F.sum("label").alias("ones"))
-             .filter((F.col("all") >= max(LEAST_EXAMPLES, LEAST_SHARE * min(n1, n0))) & (F.col("all") < n))
-             .filter((a + 0.5) * max(n0, 1) >= LEAST_LIFT * (b + 0.5) * max(n1, 1))
-             .withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
-             .orderBy(F.desc("chi2"), "word").limit(VOCABULARY).collect())
-    vocabulary = np.sort(np.array([r["word"] for r in words], dtype=np.int64).view(np.uint64))
+             .select("word", F.when(tells, chi2).alias("chi2")).toArrow())
+    vocabulary = words.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(vocabulary)
+    vocabulary, told = vocabulary[order], np.nan_to_num(words.column("chi2").to_numpy().astype(float)[order])
+    best = np.lexsort((vocabulary.view(np.int64), -told))[:VOCABULARY]
+    telling = np.sort(best[told[best] > 0])
+    number = np.full(len(vocabulary), -1, dtype=np.int64)
+    number[telling] = np.arange(len(telling))
     sent = spark.sparkContext.broadcast(vocabulary)
-    vectors = store.put(rows.mapInArrow(_vectors(sent), f"id long, terms array<int>, counts array<int>{more}"))
+    vectors = store.put(rows.mapInArrow(_vectors(sent), f"id long, terms array<int>, counts array<int>, rest double{more}"))
     n_docs = vectors.count()
     having = np.zeros(len(vocabulary))
-    for r in vectors.select(F.explode("terms").alias("term")).groupBy("term").count().collect():  # at most VOCABULARY rows
-        having[r["term"]] = r["count"]
+    found = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()  # at most a row for each term
+    having[found.column("term").to_numpy()] = found.column("count").to_numpy()
     idf = np.log((1 + n_docs) / (1 + having)) + 1e-3
-    table = vectors.join(F.broadcast(chosen), "id").limit(4 * examples).toArrow().combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
+    table = vectors.join(F.broadcast(chosen), "id").limit(4 * examples).select("id", "label", "terms", "counts").toArrow().combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
     label, ids = table.column("label").to_numpy().astype(np.int64), table.column("id").to_numpy().astype(np.int64)
     pairs = _pairs(table)
-    index = BlockMaxIndex.build(pairs, label, ids, idf)
+    model = Model(WholeIndex.build(pairs, idf, float(np.log((1 + n_docs) / 2) + 1e-3)), None, number, label, ids, np.zeros(4), 0.0)
+    model.telling = BlockMaxIndex.build(model.told(pairs), label, ids, idf[telling])
     # Leave-one-out votes: an example is not its own neighbour, nor is another row of its id.
-    cosine, who = [np.concatenate(x) if x else np.zeros((0, NEIGHBOURS + 1)) for x in zip(*(index.nearest(pairs[i : i + BATCH], NEIGHBOURS + 1) for i in range(0, len(pairs), BATCH)))] or [np.zeros((0, NEIGHBOURS + 1))] * 2
-    who = who.astype(np.int64)
-    other = (who >= 0) & (index.ids[np.maximum(who, 0)] != ids[:, None]) if len(index.ids) else np.zeros(who.shape, dtype=bool)
-    vote = votes(cosine, np.where(other, index.label[np.maximum(who, 0)] if len(index.ids) else 0, 0), other)
+    both = [model.both_votes(pairs[i : i + BATCH], np.zeros(len(pairs[i : i + BATCH])), ids[i : i + BATCH])[:2] for i in range(0, len(pairs), BATCH)]
+    whole, told = (np.concatenate(x) for x in zip(*both)) if both else (np.empty(0), np.empty(0))
     weight = np.where(label == 1, total.get(1, 0) / max((label == 1).sum(), 1), total.get(0, 0) / max((label == 0).sum(), 1)).astype(float)
-    model = Model(vocabulary, index, *calibrate(vote, label, weight / max(weight.max(initial=0), 1e-12)))
+    model.beta, model.alone = calibrate_both(whole, told, label, weight / max(weight.max(initial=0), 1e-12))
     out = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                score, shown = out.value.score(_pairs(part))
+                score, shown = out.value.score(_pairs(part), part.column("rest").to_numpy())
                 kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(shown, kind), *part.columns[3:]], ["id", "score", "evidence", *part.schema.names[3:]])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(shown, kind), *part.columns[4:]], ["id", "score", "evidence", *part.schema.names[4:]])
 
     return (vectors.mapInArrow(run, f"id long, score double, evidence array<struct<id:long,label:int,cosine:double>>{more}")
             .select(F.col("id").alias(id_col), "score", "evidence", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry))))

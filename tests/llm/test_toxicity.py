@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from sparkquiver.llm.toxicity import BlockMaxIndex, _unit, calibrate, score_toxicity, votes
+from sparkquiver.llm.toxicity import BlockMaxIndex, WholeIndex, _unit, calibrate, score_toxicity, votes
 
 
 def test_block_max_is_exact():
@@ -60,3 +60,40 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r["score"] for r in score_toxicity(docs, none).collect()] == [0.0, 0.0]
     assert score_toxicity(docs.filter("doc_id > 5"), none).count() == 0
+
+
+def test_whole_texts_are_exact():
+    rng = np.random.default_rng(2)
+
+    def vector():
+        t = np.sort(rng.choice(300, int(rng.integers(0, 40)), replace=False))
+        return t, rng.integers(1, 5, len(t))
+
+    vectors, queries, rest, idf = [vector() for _ in range(90)], [vector() for _ in range(200)], rng.uniform(0, 9, 200), rng.uniform(0.5, 6, 300)
+    index = WholeIndex.build(vectors, idf, 7.0, dense=20)
+
+    def dense(vs, more):
+        out = np.zeros((len(vs), 300))
+        for i, (t, c) in enumerate(vs):
+            out[i, t] = (1 + np.log(c)) * idf[t]
+        return out / np.maximum(np.sqrt((out * out).sum(axis=1) + more * 49), 1e-12)[:, None]
+
+    all_ = dense(queries, rest) @ dense(vectors, np.zeros(90)).T
+    assert np.allclose(index.cosines(queries, rest), all_, atol=1e-5)
+    for k in (7, 95):
+        cosine, who = index.nearest(queries, rest, k)
+        want = -np.sort(-all_, axis=1)[:, :k]
+        assert np.allclose(cosine[:, :90], np.where(want > 1e-5, want, 0), atol=2e-5)
+        assert all(j < 0 or abs(all_[i, j] - c) < 1e-5 for i in range(200) for c, j in zip(cosine[i], who[i]))
+
+
+def test_copy_without_telling_terms(spark):
+    rng = np.random.default_rng(4)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 9)) for _ in range(12))
+    own = [(i, text()) for i in range(60)] + [(100 + i, text() + (" vile rotten" if i >= 10 else "")) for i in range(40)]
+    copies = [(1000 + i, t) for i, t in own]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in own], "doc_id long, toxic int")
+    got = {r["doc_id"]: r for r in score_toxicity(spark.createDataFrame(own + copies, "doc_id long, text string"), labels).collect()}
+    for i, _ in own:  # the ten toxic ones without a telling term as well
+        first = got[1000 + i]["evidence"][0]
+        assert first["id"] == i and first["cosine"] > 0.999 and (got[1000 + i]["score"] >= 0.5) == (i >= 100)
