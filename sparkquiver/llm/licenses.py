@@ -19,7 +19,13 @@ from pyspark.sql import functions as F
 from sparkquiver.llm._store import Store
 from sparkquiver.llm._text import slices
 
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©)[^\n]*"
+#: Words that follow "copyright" or "(c)" within licence texts, so that a line wrapped there is no copyright line (fixed values).
+BODY = ("also|and|are|disclaimer|doctrines|holders?|if|including|interests?|laws?|license|licence|like|line|more|notices?|of|on|or|owners?|ownership|patent"
+        "|permission|resulting|statement|then|those|treaty|the(?=[^a-z0-9\\n]*(software|library|\\n|$))")
+ITEM = "you|under|representations|all(?! rights)|the(?![^\\n]*[0-9]{4})"
+#: A line that begins with the word, unless nothing, more letters or a word of the body follows, or with the sign.
+COPYRIGHT_LINE = (rf"(^|\n)[^a-z0-9\n]*(copyright(?![a-z]|[^a-z0-9\n]*(\n|$)|[^a-z0-9\n]+({BODY})(?![a-z0-9]))|\(c\)(?![^a-z0-9\n]+({ITEM})(?![a-z0-9]))"
+                  r"|©|(?<=<)copyright notice>[^a-z0-9\n]*(?=\n|$))[^\n]*")
 PUNCTUATION = "[\\x00-/:-@\\[-`{-\\x7f‘’“”–—©®™]+"
 #: Spellings that are equivalent in licence texts, after punctuation has become spaces (fixed values).
 SPELLINGS = (

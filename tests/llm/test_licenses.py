@@ -1,6 +1,7 @@
 """Canonical digests."""
 
 import hashlib
+import textwrap
 
 from sparkquiver.llm.licenses import KNOWN, canonical_text, find_licenses, known_digests
 
@@ -24,3 +25,13 @@ def test_find(spark):
     digests = {hashlib.sha256(canonical_text(t or "").encode()).hexdigest() for _, t, _ in rows}
     assert {r["canonical_sha256"] for r in got} == digests
     assert find_licenses(docs.filter("doc_id > 99")).count() == 0
+
+
+def test_wrapped_anywhere():
+    for _, text in KNOWN:
+        for width in (1, 14, 20, 33, 60, 66, 70, 72, 78, 80, 100):
+            lines = [w for line in text.split("\n") for w in textwrap.wrap(line, width, break_long_words=False, break_on_hyphens=False) or [""]]
+            assert canonical_text("\n".join(["Copyright (c) 2024 X", "", *lines])) == canonical_text(text), (width, text)
+    assert canonical_text("Copyright Acme Inc.\n(c) Acme\n<copyright notice>\nCopyright [yyyy] [name of copyright owner]\nCopyright The Go Authors\n© X\nx") == "x"
+    items = "(c) You must retain\nCopyright holders\ncopyrighted works\ncopyright\nnotice"
+    assert canonical_text(items) == "c you must retain copyright holders copyrighted works copyright notice"
