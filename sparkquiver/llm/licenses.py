@@ -88,6 +88,67 @@ KNOWN = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."), ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."), ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
 )
 
+#: Titles under which licence texts stand, besides none (fixed values).
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "MIT-0": ("MIT No Attribution", "MIT-0 License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License", "The BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License", "The BSD License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+#: A line that often follows the copyright line.
+RESERVED = "All rights reserved."
+#: Known texts of so many code points are whole licences, not notices.
+WHOLE = 500
+
+#: SPDX identifier, length and digest of canonical full texts, made from published copies: with and without the notice at
+#: the end that says how to apply them, and with the addresses that those copies have (fixed values).
+FULL = (
+    ("Apache-2.0", 8843, "6aa661403864282a4d084f1551e8149a5f1a7b5e8b05b6db8e1a8a28d0badc64"),
+    ("Apache-2.0", 8855, "d1680110962921dbea774fa14dfc28da11388743b12bc17fe0c77170a67c3a72"),
+    ("Apache-2.0", 8871, "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe"),
+    ("Apache-2.0", 8883, "db01d7bc2aa55ff18671fe237b4562bbd8a2a68239c7b8f45f5617bbd1379bf0"),
+    ("Apache-2.0", 9887, "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Apache-2.0", 9899, "67e045953182c77acf9892dc3fa8b7556ce97344f311dc27b8f03c0fdc8e23f2"),
+    ("BSD-3-Clause", 1381, "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),
+    ("CC-BY-SA-4.0", 17456, "4dd2d8faa991a43111f73718974d1a9133ba1453cd76d174da75d163e35fa974"),
+    ("CC0-1.0", 6664, "a142ae38742c8c4c35f5fa19e0a40ebfa60fc38535daf9c570ca3d7e012e1e32"),
+    ("CC0-1.0", 6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", 19583, "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3-only", 22018, "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("GPL-1.0-only", 9387, "89f75ffda938e788be38679f9f83e317c2a03398fccf03ee60505d44d1bf9f70"),
+    ("GPL-1.0-only", 9415, "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0-only", 11765, "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0-only", 14428, "031ce0347a7bfaa9fea9fb34dc0def0f70d366e9b6aeab50cf9537178d0d9d50"),
+    ("GPL-2.0-only", 14455, "6d332dc4c3c5293a73c6c9da402f9bbc970b3bb1eb472f577e00580573469808"),
+    ("GPL-2.0-only", 14456, "bdf38469899e13b914cf4555a4606ddcc8b2faddcedc662286f649b36212f225"),
+    ("GPL-2.0-only", 14456, "c2eea7a9d82a254e540a96d8107801d93d00bcef2742a78b7e8e8d0c0efcbd1c"),
+    ("GPL-2.0-only", 14483, "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0-only", 14484, "3417af4a4eb07583be14c0185e9a1834057e320931de2c5bf39c217a03fe79a0"),
+    ("GPL-2.0-only", 16791, "5cb6370ac80145bff27a54858e51a973da8c42e030e5803cfe2c3953ae0150ac"),
+    ("GPL-2.0-only", 17085, "aa997bc1c3422ccdc7ccabdc6f9aaa9ce2ebeed7be208887d2b13ff901326c75"),
+    ("GPL-2.0-only", 17117, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-2.0-only", 17119, "42a2063beecb82de51a227e52a22e4acf4fa0d052827262e6bb57835e02e10e9"),
+    ("GPL-3.0-only", 30940, "092a7f3b82e6c22949b46388bca99e725b6e756f1c2b1e3f575447fbd44b6191"),
+    ("GPL-3.0-only", 30968, "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("GPL-3.0-only", 33406, "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("GPL-3.0-only", 33408, "9faf4f9b13ca844eeee37346a77dec74f558096ac2b418782a99c8afe4c772da"),
+    ("LGPL-2.0-only", 22249, "430627da7218a92ab4a6d75d5140cdb70ee750be7a53f913299b37e0d1b0eea2"),
+    ("LGPL-2.0-only", 22277, "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0-only", 24130, "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.0-only", 24139, "0e3c184176a70698802350b8f697a92e908601a66f8f622e8d4c08c9e90e0a8f"),
+    ("LGPL-2.1-only", 23337, "bf2f0c6bf1c47b3b1e3cbedeefecddd1e7db21d1919858d45c2f918efaf426df"),
+    ("LGPL-2.1-only", 23365, "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1-only", 25217, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0-only", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", 22467, "a1b36de49a400e3d3385d5987188db954a084f9876243aa7207cd91de3f24a7b"),
+    ("MPL-2.0", 14341, "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("OFL-1.1", 3874, "a4915a2dcd67c648b73ad8364858cba28bbfb700e62ca5847e2c30544066e01a"),
+)
+
 _LOWERED = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SPACED = str.maketrans({c: " " for c in map(chr, range(0x3000)) if re.fullmatch(PUNCTUATION, c)})
 _ONE_WORD = {old: new for old, new in SPELLINGS if " " not in old}
@@ -129,26 +190,40 @@ def digests_of(text: str, longest: int) -> tuple[str, list[str]]:
     return _digest(whole), sorted(_digest(t) for t in texts if t and len(t) <= longest)
 
 
-def known_digests(known: tuple[tuple[str, str], ...] = KNOWN) -> dict[str, str]:
+def titled(known: tuple[tuple[str, str], ...]) -> set[tuple[str, str]]:
+    """Licence and canonical text, of whole licences also under each title and after the reservation of rights."""
+    out = set()
+    for name, text in known:
+        body = canonical_text(text)
+        out.add((name, body))
+        if len(body) >= WHOLE and name in TITLES:
+            heads = [canonical_text(t) for t in TITLES[name]]
+            body = next((body[len(h) + 1 :] for h in sorted(heads, key=len, reverse=True) if body.startswith(f"{h} ")), body)
+            out |= {(name, " ".join(x for x in (h, r, body) if x)) for h in ("", *heads) for r in ("", canonical_text(RESERVED))}
+    return out
+
+
+def known_digests(known: tuple[tuple[str, str], ...] = KNOWN, full: tuple[tuple[str, int, str], ...] = FULL) -> dict[str, str]:
     """Licence by digest."""
-    return {_digest(canonical_text(text)): name for name, text in known}
+    return {digest: name for name, _, digest in full} | {_digest(text): name for name, text in titled(known)}
 
 
-def find_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, id_col: str = "doc_id", text_col: str = "text",
+                  full: tuple[tuple[str, int, str], ...] = FULL) -> DataFrame:
     """One row per input row: (id, canonical_sha256, text_license, licenses).
 
     ``canonical_sha256`` is the digest of the whole canonical text, ``text_license`` the licence whose text that is
     (else null), and ``licenses`` the sorted distinct licences of the whole text and of its lines, an empty array if
     there are none. A null text counts as empty; an empty text, or one of copyright lines and punctuation alone, is no
     licence. Repeated rows and null ids are rows like others. An empty table gives an empty result. ``known``
-    must be a list of bounded size: it is sent with the query. Other columns are not read.
+    (licence, text) and ``full`` (licence, length, digest) must be lists of bounded size: they are sent with the query. Other columns are not read.
     """
-    if len(known) > 10_000:
+    if len(known) + len(full) > 10_000:
         raise ValueError("more than 10,000 known texts are not sent with a query")
     spark = docs.sparkSession
     store = Store(spark)
-    digests = {k: v for k, v in known_digests(known).items() if k != _digest("")}
-    longest = max((len(canonical_text(t)) for _, t in known), default=0)  # a longer line is none of them
+    digests = {k: v for k, v in known_digests(known, full).items() if k != _digest("")}
+    longest = max((*(len(t) for _, t in titled(known)), *(n for _, n, _ in full)), default=0)  # a longer line is none of them
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for whole in batches for part in slices(whole)):

@@ -2,8 +2,11 @@
 
 import hashlib
 import textwrap
+from pathlib import Path
 
-from sparkquiver.llm.licenses import KNOWN, canonical_text, find_licenses, known_digests
+import pytest
+
+from sparkquiver.llm.licenses import FULL, KNOWN, canonical_text, digests_of, find_licenses, known_digests
 
 
 def test_canonical():
@@ -35,3 +38,22 @@ def test_wrapped_anywhere():
     assert canonical_text("Copyright Acme Inc.\n(c) Acme\n<copyright notice>\nCopyright [yyyy] [name of copyright owner]\nCopyright The Go Authors\n© X\nx") == "x"
     items = "(c) You must retain\nCopyright holders\ncopyrighted works\ncopyright\nnotice"
     assert canonical_text(items) == "c you must retain copyright holders copyrighted works copyright notice"
+
+
+def test_titles():
+    known = known_digests()
+    body = {n: t for n, t in KNOWN if n in ("BSD-2-Clause", "BSD-3-Clause") and len(t) > 500}
+    for name, title in (("BSD-3-Clause", "BSD 3-Clause License"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "")):
+        assert known.get(digests_of(f"{title}\n\nCopyright (c) 2024, X\nAll rights reserved.\n\n{body[name]}", 0)[0]) == name
+    mit = next(t for n, t in KNOWN if n == "MIT" and t.startswith("MIT License"))
+    assert known[digests_of("The " + mit, 0)[0]] == "MIT"
+
+
+@pytest.mark.parametrize("file, name", [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0-only"), ("GPL-3", "GPL-3.0-only"), ("LGPL-2.1", "LGPL-2.1-only"),
+                                        ("LGPL-3", "LGPL-3.0-only"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")])
+def test_full_texts(file, name):
+    assert name in {n for n, _, _ in FULL}
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no published copy here")
+    assert known_digests().get(digests_of(path.read_text(), 0)[0]) == name
