@@ -3,8 +3,13 @@
 A benchmark item's class is the largest window length of a geometric grid that is not longer than the item. Every
 window of every class's length in every document gets a 64-bit SimHash of its words, from packed running sums. A
 multi-index of four 16-bit blocks finds each fingerprint of an item within ``RADIUS`` bits: of 11 differing bits
-some block has at most 2, and each block's table lists all values within 2 bits. Candidates are verified by
-the exact weighted Jaccard similarity of word shingles between the item and windows of the item's own length.
+some block has at most 2, and each block's table lists all values within 2 bits.
+
+Fingerprints alone miss texts shorter than an item's class and long items altered at both ends, so an item's
+rarest shingles, of a little more than a quarter of its weight, are looked up as well: a window similar enough
+shares one of them. All windows around one are verified by the exact weighted Jaccard similarity of word shingles
+with the item; they have the item's own length, or are the whole text if that is shorter. Items of fewer than five
+words are one shingle, and equal windows have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -139,8 +144,28 @@ class Benchmark:
             sums = lane_sums(h)
             ends = fingerprints(sums, length)[[0, -1]]
             by_class.setdefault(length, []).extend((i, int(x)) for x in dict.fromkeys(ends.tolist()))
+        # Every window that is similar enough shares one of these shingles with the item: the others weigh too little.
+        pairs = [(s, i) for i, h in enumerate(self.words) if len(h) >= _text.SHINGLE_WORDS for s in self._prefix(i)]
+        pairs.sort()
+        keys = np.array([s for s, _ in pairs], dtype=np.uint64)
+        self.prefix, self.prefix_first = np.unique(keys, return_index=True)
+        self.prefix_first = np.append(self.prefix_first, len(keys))
+        self.prefix_who = np.array([i for _, i in pairs], dtype=np.int64)
+        self.prefix_maybe = np.zeros(1 << 20, dtype=bool)
+        self.prefix_maybe[self.prefix >> np.uint64(44)] = True
         self.classes = {n: (np.array([i for i, _ in v]), HammingIndex(np.array([x for _, x in v], dtype=np.uint64))) for n, v in sorted(by_class.items())}
 
+    def _prefix(self, item: int) -> list[int]:
+        """The item's rarest shingles, of more than the share of its weight that a similar window may lack."""
+        order = sorted(range(len(self.sorted[item])), key=lambda k: (-self.weight[int(self.sorted[item][k])], k))
+        lacking, most, out = 0.0, (1 - SIMILARITY + 1e-9) * float(self.parts[item].sum()), []
+        for k in order:
+            out.append(int(self.sorted[item][k]))
+            lacking += float(self.parts[item][k])
+            if lacking > most:
+                break
+        return out
+
     def similarity(self, item: int, window: Counter) -> float:
         """Weighted Jaccard: a shingle counts the more, the fewer items have it."""
         own, both, either = self.counts[item], 0.0, 0.0
@@ -159,11 +184,21 @@ class Benchmark:
         hit[at[own[at] == shingles]] = True
         return float(self.parts[item][hit].sum()) >= (SIMILARITY - 1e-9) * float(self.parts[item].sum())
 
-    def best_window(self, item: int, hashes: np.ndarray, near: list[int]) -> tuple[float, int]:
-        """The most similar window of the item's length, or the whole text if that is shorter, around candidates."""
-        n = len(self.words[item])
-        slack = n - grid_length(n) + 2
-        starts = sorted({s for c in near for s in range(max(0, c - slack), max(0, min(c + slack, len(hashes) - n)) + 1)})
+    def best_window(self, item: int, hashes: np.ndarray, near: np.ndarray) -> tuple[float, int]:
+        """The most similar window of the item's length, or the whole text if that is shorter, around words ``near``."""
+        n, size = len(self.words[item]), _text.SHINGLE_WORDS
+        last = max(len(hashes) - n, 0)
+        if n < size or not last:
+            starts = sorted({min(int(s), last) for s in near}) if n < size else [0]
+        else:
+            edge = np.zeros(last + 2, dtype=np.int64)
+            np.add.at(edge, np.maximum(near - (n - size), 0), 1)
+            np.add.at(edge, np.minimum(near, last) + 1, -1)
+            inside = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+            value = np.empty(len(inside))
+            for run in np.split(np.arange(len(inside)), np.flatnonzero(np.diff(inside) != 1) + 1):
+                value[run] = self._slide(item, hashes[inside[run[0]] : inside[run[-1]] + n])
+            starts = inside[value >= max(value.max(), SIMILARITY) - 1e-9].tolist()
         best = (0.0, 0)
         for s in starts:
             value = self.similarity(item, shingle_counts(hashes[s : s + n]))
@@ -171,6 +206,43 @@ class Benchmark:
                 best = (value, s)
         return best
 
+    def _slide(self, item: int, hashes: np.ndarray) -> np.ndarray:
+        """Similarity, but for rounding, of each window of the item's length: one shingle leaves and one comes."""
+        shingles = _text.window_hash(hashes, _text.SHINGLE_WORDS).tolist()
+        n, own = len(self.words[item]) - _text.SHINGLE_WORDS + 1, self.counts[item]
+        weights = np.array([self.weight.get(s, self.rarest) for s in shingles])
+        total = np.append(0.0, np.cumsum(weights))
+        both, have, shared = 0.0, Counter(), np.empty(len(shingles) - n + 1)
+        for k, s in enumerate(shingles):
+            if s in own:
+                have[s] += 1
+                if have[s] <= own[s]:
+                    both += weights[k]
+            if k >= n and (gone := shingles[k - n]) in own:
+                if have[gone] <= own[gone]:
+                    both -= weights[k - n]
+                have[gone] -= 1
+            if k >= n - 1:
+                shared[k - n + 1] = both
+        return shared / (self.parts[item].sum() + total[n:] - total[: len(total) - n] - shared)
+
+    def distance(self, item: int, window: np.ndarray) -> int:
+        """Bits between fingerprints of the item's ends and the nearest ones of a window, of the class's length or the window's."""
+        length = min(grid_length(len(self.words[item])), len(window))
+        ends = fingerprints(lane_sums(self.words[item]), length)[[0, -1]]
+        return int(np.bitwise_count(fingerprints(lane_sums(window), length)[:, None] ^ ends).min())
+
+    def sharing(self, fives: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, item) of all places of shingles that are among an item's rarest."""
+        place = np.flatnonzero(self.prefix_maybe[fives >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.prefix, fives[place]), max(len(self.prefix) - 1, 0))
+        if len(place):
+            hit = self.prefix[at] == fives[place]
+            place, at = place[hit], at[hit]
+        many = self.prefix_first[at + 1] - self.prefix_first[at] if len(at) else np.empty(0, dtype=np.int64)
+        which = np.arange(many.sum()) + np.repeat(self.prefix_first[at] - (np.cumsum(many) - many), many)
+        return np.repeat(place, many), self.prefix_who[which]
+
     def scan(self, hashes: np.ndarray, number: np.ndarray, count: int) -> Iterator[tuple[int, int, int, float, int]]:
         """(text, item, first word, similarity, distance) of the best verified window of each pair."""
         if not len(hashes):
@@ -186,13 +258,22 @@ class Benchmark:
             for w, i, t, d in zip(window[inside].tolist(), items[who[inside]].tolist(), text[inside].tolist(), distance[inside].tolist()):
                 seen.setdefault((t, i), []).append((w - int(first[t]), d))
         fives = _text.window_hash(hashes, _text.SHINGLE_WORDS)
-        for (t, i), hits in sorted(seen.items()):
+        place, who = self.sharing(fives)
+        inside = number[place] == number[place + _text.SHINGLE_WORDS - 1]
+        place, who = place[inside], who[inside]
+        order = np.lexsort((place, who, number[place]))
+        place, who, text = place[order], who[order], number[place[order]]
+        cut = np.flatnonzero(np.diff(text, prepend=-1) | np.diff(who, prepend=-1))
+        near = {(int(text[i]), int(who[i])): place[i:j] - first[text[i]] for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(who)])}
+        near |= {(t, i): np.array([w for w, _ in hits]) for (t, i), hits in seen.items() if len(self.words[i]) < _text.SHINGLE_WORDS}
+        for (t, i), around in sorted(near.items(), key=lambda x: x[0]):
             own = hashes[first[t] : first[t] + size[t]]
-            if len(self.words[i]) >= _text.SHINGLE_WORDS <= len(own) and not self.may_reach(i, fives[first[t] : first[t] + size[t] - _text.SHINGLE_WORDS + 1]):
+            if len(self.words[i]) >= _text.SHINGLE_WORDS and not self.may_reach(i, fives[first[t] : first[t] + size[t] - _text.SHINGLE_WORDS + 1]):
                 continue
-            value, at = self.best_window(i, own, sorted({s for s, _ in hits}))
+            value, at = self.best_window(i, own, around)
             if value >= SIMILARITY:
-                yield t, self.ids[i], at, value, min(d for _, d in hits)
+                found = [d for _, d in seen.get((t, i), ())]
+                yield t, self.ids[i], at, value, min(found) if found else self.distance(i, own[at : at + len(self.words[i])])
 
 
 _SCHEMA = "row long, item_id long, first_word long, similarity double, distance int"
@@ -221,9 +302,10 @@ def _scan(benchmark):
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per contaminated document and benchmark item: (id, item_id, first_word, similarity, distance).
 
-    A document is contaminated by an item if a window of its whole text, as long as the item in words, has a
-    weighted five-word shingle similarity of 0.75 or more with it, among windows near fingerprints within 11 bits.
-    ``first_word`` is the best window's place, the first of equals. Items without words, or with a null id or
+    A document is contaminated by an item if a window of its whole text, as long as the item in words, or the whole
+    text if that is shorter, has a weighted five-word shingle similarity of 0.75 or more with it. All such pairs are
+    found. ``first_word`` is the best window's place, the first of equals, and ``distance`` the least one of the
+    fingerprints within 11 bits, or where there is none that of the best window's. Items without words, or with a null id or
     text, match nothing, and neither do empty or null texts. Rows repeated in either table give rows each; items
     of one id are reported by that id. An empty table on either side gives an empty result. Ids of items must be
     integers. Other columns are not read.

@@ -67,3 +67,27 @@ def test_against_all_windows(spark):
     assert sorted(got, key=str) == sorted(planted, key=str) and len(planted) > 30
     assert find_leaks(docs.filter("doc_id > 999"), bench).count() == 0
     assert find_leaks(docs, bench.filter("item_id > 999")).count() == 0
+
+
+def _all_pairs(own, rows):
+    from sparkquiver.llm import _text
+    from sparkquiver.llm.decontaminate import shingle_counts
+
+    out = []
+    for i, t in rows:
+        h = _text.words([t.encode()])[0]
+        for k, item in enumerate(own.words):
+            values = [own.similarity(k, shingle_counts(h[s : s + len(item)])) for s in range(max(1, len(h) - len(item) + 1))] if len(h) else [0]
+            if max(values) >= 0.75:
+                out.append((i, k, values.index(max(values)), round(max(values), 9)))
+    return sorted(out)
+
+
+def test_documents_shorter_than_items(spark):
+    rng = random.Random(5)
+    items = [["v%d" % rng.randrange(5000) for _ in range(n)] for n in (*range(12, 60), 70, 90, 130, 260)]
+    rows = [(1000 * k + cut, " ".join(w[:-cut] if cut % 2 else w[cut:])) for k, w in enumerate(items) for cut in (1, 2, 3, 5, 8, 10)]
+    want = _all_pairs(Benchmark(list(range(len(items))), [" ".join(w).encode() for w in items]), rows)
+    got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"], round(r["similarity"], 9)) for r in got) == want and len(want) > 150
+    assert all(0 <= r["distance"] <= 64 for r in got)
