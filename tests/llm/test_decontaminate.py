@@ -91,3 +91,20 @@ def test_documents_shorter_than_items(spark):
     got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"], r["first_word"], round(r["similarity"], 9)) for r in got) == want and len(want) > 150
     assert all(0 <= r["distance"] <= 64 for r in got)
+
+
+def test_long_items(spark):
+    rng = random.Random(6)
+    word = lambda: "u%d" % rng.randrange(50_000)
+    items = [[word() for _ in range(n)] for n in (300, 600, 1000, 1000)]
+    rows = []
+    for k, w in enumerate(items):
+        for cut in (0.05, 0.06, 0.065, 0.07, 0.2):  # both ends replaced, the middle as it was
+            c = int(cut * len(w))
+            rows.append((len(rows), " ".join([word() for _ in range(c + 150)] + w[c:-c] + [word() for _ in range(c + 90)])))
+        for size in (0.1, 0.13, 0.3):  # the middle replaced
+            c = int(size * len(w))
+            rows.append((len(rows), " ".join([word() for _ in range(40)] + w[: len(w) // 2] + [word() for _ in range(c)] + w[len(w) // 2 + c :])))
+    want = _all_pairs(Benchmark(list(range(4)), [" ".join(w).encode() for w in items]), rows)
+    got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"], round(r["similarity"], 9)) for r in got) == want and len(want) > 16
