@@ -31,7 +31,8 @@ BLOCKS, BLOCK_BITS = 4, 16
 GRID = 1.25
 #: Windows up to this length; longer items are covered by windows of it from both ends.
 LONGEST = 200
-#: Items whose index is sent to executors at a time; more are done in blocks, each against all documents.
+#: Items whose index is sent to executors at a time; more are done in blocks, each against all documents, with the
+#: weights of shingles that several of all items have.
 ITEMS = 20_000
 
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
@@ -122,9 +123,12 @@ def shingle_counts(hashes: np.ndarray) -> Counter:
 
 
 class Benchmark:
-    """Items with their word hashes, shingle weights and, by class, their fingerprints' index."""
+    """Items with their word hashes, shingle weights and, by class, their fingerprints' index.
 
-    def __init__(self, ids: list[int], texts: list[bytes]):
+    For a block of a larger benchmark, ``total`` is the number of all items that have words, and ``often`` the shingles
+    that several of all items have, with how many."""
+
+    def __init__(self, ids: list[int], texts: list[bytes], total: int | None = None, often: dict[int, int] | None = None):
         self.ids, self.words = [], []
         for i, t in sorted(zip(ids, texts)):
             h = _text.words([t])[0]
@@ -133,7 +137,9 @@ class Benchmark:
                 self.words.append(h)
         self.counts = [shingle_counts(h) for h in self.words]
         items_with = Counter(s for c in self.counts for s in c)
-        self.rarest = 1 + float(np.log(max(len(self.ids), 1)))
+        if often is not None:
+            items_with |= Counter(often)  # never less than in the block
+        self.rarest = 1 + float(np.log(max(len(self.ids) if total is None else total, 1)))
         self.weight = {s: self.rarest - float(np.log(n)) for s, n in items_with.items()}
         # Distinct shingles of each item, ascending, with the weight of all their occurrences.
         self.sorted = [np.array(sorted(c), dtype=np.uint64) for c in self.counts]
@@ -299,6 +305,16 @@ def _scan(benchmark):
     return run
 
 
+def _item_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each item; of one with words also a row of null."""
+    for b in batches:
+        found: list[int | None] = []
+        for t in _text.as_bytes(b.column(0)):
+            if len(h := _text.words([t])[0]):
+                found += [None, *np.array(list(shingle_counts(h)), dtype=np.uint64).view(np.int64).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["shingle"])
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per contaminated document and benchmark item: (id, item_id, first_word, similarity, distance).
 
@@ -318,10 +334,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     # The id travels as it is: no row number is needed, as each document's rows come from its own record.
     kind = rows.schema["id"].dataType.simpleString()
     schema = _SCHEMA.replace("row long", f"row {kind}")
-    out = None
+    out, total, often = None, None, None
+    if parts > 1:  # weights are those of the whole benchmark, whatever block an item is in
+        count = items.select("text").mapInArrow(_item_shingles, "shingle long").groupBy("shingle").count()
+        several = count.filter("shingle IS NULL OR count > 1").toArrow()
+        known = dict(zip(several.column("shingle").to_pylist(), several.column("count").to_pylist()))
+        total = known.pop(None, 0)
+        often = {s % (1 << 64): n for s, n in known.items()}
     for k in range(parts):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).toArrow()
-        index = spark.sparkContext.broadcast(Benchmark(block.column("item_id").to_pylist(), [t.encode() for t in block.column("text").to_pylist()]))
+        index = spark.sparkContext.broadcast(Benchmark(block.column("item_id").to_pylist(), [t.encode() for t in block.column("text").to_pylist()], total, often))
         found = rows.mapInArrow(_scan(index), schema)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("row").alias(id_col), F.col("item_id").alias(item_col), "first_word", "similarity", "distance")

@@ -108,3 +108,16 @@ def test_long_items(spark):
     want = _all_pairs(Benchmark(list(range(4)), [" ".join(w).encode() for w in items]), rows)
     got = find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"], r["first_word"], round(r["similarity"], 9)) for r in got) == want and len(want) > 16
+
+
+def test_blocks_weigh_alike(spark, monkeypatch):
+    rng = random.Random(7)
+    common = ["c%d" % i for i in range(12)]
+    items = [common + ["k%d" % rng.randrange(900) for _ in range(14)] for _ in range(30)] + [["one", "two"]]
+    rows = [(i, " ".join(["x"] * (i % 3) + items[i % 30][: 26 - i // 30] + ["y%d" % j for j in range(i // 30)])) for i in range(180)] + [(500, "one two")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)] + [(99, " ")], "item_id long, text string")
+    whole = sorted(tuple(r) for r in find_leaks(docs, bench).select("doc_id", "item_id", "first_word", "similarity").collect())
+    monkeypatch.setattr("sparkquiver.llm.decontaminate.ITEMS", 8)
+    parts = sorted(tuple(r) for r in find_leaks(docs, bench).select("doc_id", "item_id", "first_word", "similarity").collect())
+    assert [r[:3] for r in parts] == [r[:3] for r in whole] and len(whole) > 60
+    assert all(abs(p[3] - w[3]) < 1e-12 for p, w in zip(parts, whole))
