@@ -162,13 +162,15 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(label, text) of at most ``rows`` labelled ids, those with the smallest hashes; an id with several labels has its largest."""
+    """(label, text) of at most ``rows`` labelled ids, those with the smallest hashes; an id with several labels has its
+    largest, and of several rows of an id that of the smallest hash of its text is taken."""
     ids = (labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
            .groupBy("id").agg(F.max("label").alias("label"))
            .orderBy(F.xxhash64("id"), "id").limit(rows))
     # At most ``rows`` pairs of numbers are broadcast.
     found = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return found.join(F.broadcast(ids), "id").select("label", "text")
+    least = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least")
+    return found.join(F.broadcast(ids), "id").groupBy("id", "label").agg(least).select("label", "least.text")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text",
@@ -178,7 +180,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     Rows with a null id or label are left out. Without any labelled text every score is 0.5.
     """
     sample = labelled_sample(docs, labels, sample_rows, id_col, text_col, label_col)
-    table = sample.mapInArrow(_statistics, "label int, x array<double>").limit(2 * sample_rows).toArrow()  # numbers only
+    table = sample.mapInArrow(_statistics, "label int, x array<double>").toArrow()  # numbers only
     x = np.array(table.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     y = table.column("label").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the order in which rows arrive does not matter

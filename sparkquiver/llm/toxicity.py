@@ -336,7 +336,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
 
     ``labels`` (id, label 0 or 1) are those to learn from; at most ``examples`` of each label are used, which
     bounds the index that is sent to executors. Ids must be integers. Rows of ``labels`` with a null are left out
-    and an id with several labels has its largest. A null text counts as empty; a text that shares no term with
+    and an id with several labels has its largest. Of several rows of an id that of the smallest hash of its text is the
+    example. A null text counts as empty; a text that shares no term with
     any example has no neighbours, no evidence, and the rate of examples without telling terms as its score. ``evidence`` is the nearest
     whole texts. Without labels every
     score is 0. Repeated rows and null ids are rows like others. An empty table gives an empty result. Other
@@ -353,14 +354,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
         known.filter(F.col("label") == 1).orderBy(F.xxhash64("id"), "id").limit(examples))
     chosen = store.put(chosen)  # at most 2 * examples pairs of numbers
     taken = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
-    texts = rows.join(F.broadcast(chosen), "id").select("label", "text")
+    # One row of each id, that of the smallest hash of its text, so that an id that repeats crowds out no other.
+    texts = store.put(rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+                      .select("id", "least.text", "label"))
     a, n1, n0 = F.col("ones"), taken.get(1, 0), taken.get(0, 0)
     b, n = F.col("all") - F.col("ones"), n1 + n0
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (F.lit(float(max(n1, 1) * max(n0, 1))) * F.col("all") * (n - F.col("all")))
     tells = ((F.col("all") >= max(LEAST_EXAMPLES, LEAST_SHARE * min(n1, n0))) & (F.col("all") < n)
              & ((a + 0.5) * max(n0, 1) >= LEAST_LIFT * (b + 0.5) * max(n1, 1)) & (chi2 >= LEAST_CHI2))
     # As many rows as the examples have terms, numbers only.
-    words = (texts.mapInArrow(_words_of, "label int, word long").groupBy("word").agg(F.count("*").alias("all"), F.sum("label").alias("ones"))
+    words = (texts.select("label", "text").mapInArrow(_words_of, "label int, word long").groupBy("word").agg(F.count("*").alias("all"), F.sum("label").alias("ones"))
              .select("word", F.when(tells, chi2).alias("chi2")).toArrow())
     vocabulary = words.column("word").to_numpy().view(np.uint64)
     order = np.argsort(vocabulary)
@@ -376,7 +379,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     found = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()  # at most a row for each term
     having[found.column("term").to_numpy()] = found.column("count").to_numpy()
     idf = np.log((1 + n_docs) / (1 + having)) + 1e-3
-    table = vectors.join(F.broadcast(chosen), "id").limit(4 * examples).select("id", "label", "terms", "counts").toArrow().combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
+    table = texts.mapInArrow(_vectors(sent), "id long, terms array<int>, counts array<int>, rest double, label int").toArrow().combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
     label, ids = table.column("label").to_numpy().astype(np.int64), table.column("id").to_numpy().astype(np.int64)
     pairs = _pairs(table)
     model = Model(WholeIndex.build(pairs, idf, float(np.log((1 + n_docs) / 2) + 1e-3)), None, number, label, ids, np.zeros(4), 0.0)

@@ -44,3 +44,12 @@ def test_classifier(spark):
     assert score_quality(docs.filter("doc_id > 9999"), model).count() == 0
     empty = fit_quality(docs, labels.filter("doc_id > 9999"))
     assert {r["score"] for r in score_quality(docs, empty).collect()} == {0.5}
+
+
+def test_repeated_id_counts_once(spark):
+    from sparkquiver.llm.quality import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"row {k % 9}") for k in range(300)] + [(i, f"text {i}") for i in range(2, 12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 12)], "doc_id long, quality int")
+    one, two = (sorted(map(tuple, labelled_sample(d, labels, 100, "doc_id", "text", "quality").collect())) for d in (docs, docs.repartition(4)))
+    assert one == two and len(one) == 11

@@ -1,6 +1,7 @@
 """Nearest examples against all cosines, and end to end."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkquiver.llm.toxicity import BlockMaxIndex, WholeIndex, _unit, calibrate, score_toxicity, votes
 
@@ -97,3 +98,14 @@ def test_copy_without_telling_terms(spark):
     for i, _ in own:  # the ten toxic ones without a telling term as well
         first = got[1000 + i]["evidence"][0]
         assert first["id"] == i and first["cosine"] > 0.999 and (got[1000 + i]["score"] >= 0.5) == (i >= 100)
+
+
+def test_repeated_id_crowds_out_nothing(spark):
+    clean = [(i, f"the quiet house {i} stood by the river bend") for i in range(20)]
+    toxic = [(100 + i, f"you are a vile rotten creature number {i}") for i in range(20)]
+    hot = [(7, f"a repeated row {k % 50}") for k in range(400)]
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, toxic int")
+    docs = spark.createDataFrame(hot + clean + toxic + [(900, "quite a vile rotten creature")], "doc_id long, text string").coalesce(1)
+    first, again = ({(r["doc_id"], r["score"], str(r["evidence"])) for r in score_toxicity(d, labels, examples=20).collect()} for d in (docs, docs.orderBy(F.desc("doc_id")).repartition(5)))
+    assert {(i, round(s, 6), e) for i, s, e in first} == {(i, round(s, 6), e) for i, s, e in again}
+    assert all(s > 0.5 for i, s, _ in first if i == 900)
