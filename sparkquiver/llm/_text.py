@@ -21,8 +21,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Letters: ASCII letters and every byte of a multi-byte character.
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[97:123] = True
@@ -78,7 +78,7 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 def _hashed(texts: list[bytes], of: str) -> tuple:
     glue = b"\n" if of == "lines" else b" "
     raw = np.frombuffer(glue.join(texts) + glue, dtype=np.uint8)
-    inside = _LETTER[raw] if of == "letters" else raw != 10 if of == "lines" else ~_SPACE[raw]
+    inside = _LETTER[raw] if of == "letters" else raw != 10 if of == "lines" else ~SPACE[raw]
     edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _power(len(raw))
@@ -88,6 +88,14 @@ def _hashed(texts: list[bytes], of: str) -> tuple:
     return sums, before, down[start], np.searchsorted(ends_at, start, side="right"), start, end
 
 
+def range_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -> np.ndarray:
+    """The hash of the bytes ``raw[start:end]`` of each range and of its length, A-Z lowered on demand; ranges are not empty."""
+    up, down = _power(len(raw))
+    sums = np.cumsum((_CODE_OF_LOWERED if lower else _CODES)[raw] * up[: len(raw)], dtype=np.uint64)
+    before = np.where(start > 0, sums[start - 1], np.uint64(0))
+    return mix((sums[end - 1] - before) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def words(texts: list[bytes], of: str = "words") -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text number, first byte, end byte) of every word of one chunk; bytes count from the chunk's start.
 
