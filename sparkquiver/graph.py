@@ -26,6 +26,7 @@ class Graph:
     """
 
     def __init__(self, spark: SparkSession, options: GraphOptions | None = None, folder: str | None = None):
+        """A new graph, or the one that another driver left in ``folder``."""
         self.spark, self.options = spark, options or GraphOptions()
         self._store = VersionStore(spark, folder)
 
@@ -86,9 +87,11 @@ class Graph:
         """Mark a node removed. Its edges disappear at once; its neighbours keep tombstones until they are repaired."""
         with self._store.writing() as v:
             self._ensure_live(v, node)
-            ids = self.spark.range(node, node + 1)
-            out = relops.removal_summary(v.nodes(self.spark), v.edges(self.spark), ids).first()
-            self._remove(v, ids, 1)
+            # The filter on the one id reaches the files of the edges.
+            own, ids = v.edges(self.spark).filter((F.col("src") == node) | (F.col("dst") == node)), self.spark.range(node, node + 1)
+            out = relops.removal_summary(v.nodes(self.spark), own, ids).first()
+            gone = relops.removed(v.nodes(self.spark)).unionByName(ids)
+            self._store.publish(v, {"removed": ids, "deleted": self._dead(own, gone)}, removed_count=v.removed_count + 1)
             return NodeRemovalSummary(out["removed_visible_edges"], out["related_live_nodes_touched"], out["left_repair_debt"])
 
     def remove_nodes_df(self, ids: DataFrame) -> int:
@@ -99,18 +102,20 @@ class Graph:
             if ids.join(relops.live(v.nodes(self.spark)), "id", "left_semi").count() != n:
                 raise InvalidNode
             if n:
-                self._remove(v, ids, n)
+                gone = relops.removed(v.nodes(self.spark)).unionByName(ids)
+                self._store.publish(v, {"removed": ids, "deleted": self._dead(self._touching(v.edges(self.spark), ids), gone)}, removed_count=v.removed_count + n)
             return n
 
-    def _remove(self, v: Version, ids: DataFrame, count: int) -> None:
-        """Edges between removed nodes have no side left that keeps them, so they go at once."""
-        nodes, edges = relops.mark_removed(v.nodes(self.spark), ids), v.edges(self.spark)
-        gone = relops.removed(nodes)
-        touched = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(
-            edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
-        both = touched.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        dead = both.select("src", "dst", F.lit(None).cast("long").alias("edge_id")).distinct()
-        self._store.publish(v, {"removed": ids, "deleted": dead}, removed_count=v.removed_count + count)
+    @staticmethod
+    def _touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
+        """Edges with an end among ``ids``; those with both come twice."""
+        return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").unionByName(edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+
+    @staticmethod
+    def _dead(edges: DataFrame, gone: DataFrame) -> DataFrame:
+        """Deletions of edges between removed nodes: no side is left that keeps them, so they go at once."""
+        both = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_semi").join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        return both.select("src", "dst", F.lit(None).cast("long").alias("edge_id")).distinct()
 
     # -- edges ---------------------------------------------------------------
 
@@ -182,44 +187,82 @@ class Graph:
         that exist already or twice in the batch (simple mode), removed destinations, degree limits, edge ids.
         """
         with self._store.writing() as v:
-            nodes, edges = v.nodes(self.spark), v.edges(self.spark)
-            batch = storage.written(batch.select(
-                F.col("src").cast("long"), F.col("dst").cast("long"), F.col("relation").cast("int"), F.col("flags").cast("int"), F.col("ord").cast("long")),
-                storage.new_folder(self.spark, "batch"))
-            ends = batch
-            for side in ("src", "dst"):
-                ends = ends.join(nodes.select(F.col("id").alias(side), F.col("removed").alias(f"{side}_removed")), side, "left")
+            n, added = self._checked(v, batch)
+            if n:
+                self._store.publish(v, added)
+            return n
+
+    def _checked(self, v: Version, batch: DataFrame) -> tuple[int, dict[str, DataFrame]]:
+        """How many edges a batch has, and its segments."""
+        nodes, edges = v.nodes(self.spark), v.edges(self.spark)
+        batch = storage.written(batch.select(
+            F.col("src").cast("long"), F.col("dst").cast("long"), F.col("relation").cast("int"), F.col("flags").cast("int"), F.col("ord").cast("long")),
+            storage.new_folder(self.spark, "batch"))
+        bad = self._ends_of(nodes, batch)
+        if not bad["n"]:
+            return 0, {}
+        if bad["unknown"] or bad["dead_source"]:
+            raise InvalidNode
+        if not self.multigraph:
             known = edges.join(batch.select("src", "dst").distinct(), ["src", "dst"], "left_semi").select("src", "dst")
-            again = batch.select("src", "dst").unionByName(known).groupBy("src", "dst").count().filter("count > 1")
-            bad = ends.agg(
-                F.count("*").alias("n"), F.count_if(F.col("src_removed").isNull() | F.col("dst_removed").isNull()).alias("unknown"),
-                F.count_if("src_removed").alias("dead_source"), F.count_if("dst_removed").alias("dead_destination")).first()
-            if not bad["n"]:
-                return 0
-            if bad["unknown"] or bad["dead_source"]:
-                raise InvalidNode
-            if not self.multigraph and not again.isEmpty():
+            if not batch.select("src", "dst").unionByName(known).groupBy("src", "dst").count().filter("count > 1").isEmpty():
                 raise EdgeAlreadyExists
-            if bad["dead_destination"]:
+        if bad["dead_destination"]:
+            raise InvalidNode
+        if (limit := self.options.degree_limit) is not None:
+            seen = relops.visible(nodes, edges).select("src", "dst").unionByName(batch.select("src", "dst"))
+            for side in ("src", "dst"):
+                touched = batch.select(side).distinct()
+                if not seen.join(touched, side, "left_semi").groupBy(side).count().filter(F.col("count") > limit).isEmpty():
+                    raise DegreeLimitReached
+        if not self.multigraph:
+            return bad["n"], {"edges": batch.withColumn("edge_id", F.lit(None).cast("long"))}
+        after = nodes.select(F.col("id").alias("src"), "next_edge_id").join(batch.select("src").distinct(), "src", "left_semi")
+        numbered = relops.number_edges(batch, "ord", after=after)
+        high = relops.counters(numbered)
+        if not high.filter(F.col("next_edge_id") > EDGE_ID_END).isEmpty():
+            raise EdgeIdExhausted
+        return bad["n"], {"edges": numbered, "counters": high}
+
+    @staticmethod
+    def _ends_of(nodes: DataFrame, pairs: DataFrame):
+        """One row: how many (src, dst) there are, and how many have an unknown end, a removed source or a removed destination."""
+        for side in ("src", "dst"):
+            pairs = pairs.join(nodes.select(F.col("id").alias(side), F.col("removed").alias(f"{side}_removed")), side, "left")
+        return pairs.agg(F.count("*").alias("n"), F.count_if(F.col("src_removed").isNull() | F.col("dst_removed").isNull()).alias("unknown"),
+                         F.count_if("src_removed").alias("dead_source"), F.count_if("dst_removed").alias("dead_destination")).first()
+
+    def apply(self, adds: DataFrame, cuts: DataFrame, gone: DataFrame, stream: str, epoch: int) -> bool:
+        """Add edges (src, dst, relation, flags, ord), then remove edges (src, dst), then nodes (id): all or nothing, as one version.
+
+        The version names the stream's epoch; one that was applied before changes nothing and gives False. Edges to
+        remove that do not exist are passed over, as ``remove_edge`` does; their ends must be live.
+        """
+        with self._store.writing() as v:
+            if epoch <= v.epochs.get(stream, -1):
+                return False
+            nodes = v.nodes(self.spark)
+            _, added = self._checked(v, adds)
+            cuts = storage.written(cuts.select(F.col("src").cast("long"), F.col("dst").cast("long")).distinct(), storage.new_folder(self.spark, "cuts"))
+            bad = self._ends_of(nodes, cuts)
+            gone = storage.written(gone.select(F.col("id").cast("long").alias("id")).distinct(), storage.new_folder(self.spark, "gone"))
+            n = gone.count()
+            if bad["unknown"] or bad["dead_source"] or bad["dead_destination"] or n and gone.join(relops.live(nodes), "id", "left_semi").count() != n:
                 raise InvalidNode
-            if (limit := self.options.degree_limit) is not None:
-                seen = relops.visible(nodes, edges).select("src", "dst").unionByName(batch.select("src", "dst"))
-                for side in ("src", "dst"):
-                    touched = batch.select(side).distinct()
-                    if not seen.join(touched, side, "left_semi").groupBy(side).count().filter(F.col("count") > limit).isEmpty():
-                        raise DegreeLimitReached
-            added = {}
-            if self.multigraph:
-                after = nodes.select(F.col("id").alias("src"), "next_edge_id").join(batch.select("src").distinct(), "src", "left_semi")
-                numbered = relops.number_edges(batch, "ord", after=after)
-                high = relops.counters(numbered)
-                if not high.filter(F.col("next_edge_id") > EDGE_ID_END).isEmpty():
-                    raise EdgeIdExhausted
-                added["counters"] = high
-            else:
-                numbered = batch.withColumn("edge_id", F.lit(None).cast("long"))
-            self._store.publish(v, {"edges": numbered} | added)
-            return bad["n"]
+            later = {}
+            if bad["n"]:
+                later["deleted"] = cuts.withColumn("edge_id", F.lit(None).cast("long"))
+            if n:
+                edges = v.edges(self.spark)
+                edges = edges.unionByName(added["edges"].select(edges.columns)) if added else edges
+                dead = self._dead(self._touching(edges, gone), relops.removed(nodes).unionByName(gone))
+                later["removed"], later["deleted"] = gone, later["deleted"].unionByName(dead) if later else dead
+            self._store.publish(v, *(x for x in (added, later) if x), removed_count=v.removed_count + n, epochs=v.epochs | {stream: epoch})
+            return True
+
+    def epoch(self, stream: str) -> int:
+        """The last epoch of a stream that was applied, or -1."""
+        return self._store.head.epochs.get(stream, -1)
 
     def remove_edge(self, source: int, destination: int) -> bool:
         """Remove the edge, in multigraphs all parallel ones; False if there is none."""
@@ -252,19 +295,21 @@ class Graph:
         r = relops.debt_stats(self.nodes, self.edges).first().asDict()
         return DebtStats(**{k: r[k] for k in DebtStats._fields})
 
-    def _tombstones(self, v: Version, ids: DataFrame | None) -> DataFrame:
-        """Deletions of the edges that repairing the nodes of ``ids`` drops."""
-        edges, kept = v.edges(self.spark), relops.repair(v.nodes(self.spark), v.edges(self.spark), ids)
-        keys = ["src", "dst"]
-        return edges.select(*keys).distinct().join(kept.select(*keys).distinct(), keys, "left_anti").withColumn("edge_id", F.lit(None).cast("long"))
+    def _tombstones(self, v: Version, near: DataFrame, ids: DataFrame) -> DataFrame:
+        """Deletions of the edges among ``near`` between the nodes of ``ids`` and removed ones."""
+        gone, found = relops.removed(v.nodes(self.spark)), []
+        for own, other in (("src", "dst"), ("dst", "src")):
+            found.append(near.join(ids.withColumnRenamed("id", own), own, "left_semi").join(gone.withColumnRenamed("id", other), other, "left_semi").select("src", "dst"))
+        return found[0].unionByName(found[1]).distinct().withColumn("edge_id", F.lit(None).cast("long"))
 
     def repair_node(self, node: int) -> RepairNodeSummary:
         with self._store.writing() as v:
             self._ensure_live(v, node)
-            flag = relops.debt(v.nodes(self.spark), v.edges(self.spark)).filter(F.col("id") == node).first()
+            own = v.edges(self.spark).filter((F.col("src") == node) | (F.col("dst") == node))
+            flag = relops.debt(v.nodes(self.spark), own).filter(F.col("id") == node).first()
             if flag is None:
                 return RepairNodeSummary()
-            self._store.publish(v, {"deleted": self._tombstones(v, self.spark.range(node, node + 1))})
+            self._store.publish(v, {"deleted": self._tombstones(v, own, self.spark.range(node, node + 1))})
             fwd, rev = flag["needs_fwd"], flag["needs_rev"]
             return RepairNodeSummary(repaired_fwd=fwd, repaired_rev=rev, had_flagged_debt_fwd=fwd, had_flagged_debt_rev=rev)
 
@@ -276,7 +321,7 @@ class Graph:
             picked = storage.written(relops.repair_pick(v.nodes(self.spark), v.edges(self.spark), max_nodes), storage.new_folder(self.spark, "pick"))
             n = picked.count()
             if n:
-                self._store.publish(v, {"deleted": self._tombstones(v, picked)})
+                self._store.publish(v, {"deleted": self._tombstones(v, v.edges(self.spark), picked)})
             return n
 
     def flush_repairs(self) -> RepairFlushSummary:
@@ -311,10 +356,11 @@ class Graph:
         if found:
             raise CorruptGraph(Violation(*found[0]))
 
-    def debug_validate(self, context: Context | None = None) -> list[Violation]:
+    def debug_validate(self, context: Context | None = None, limit: int = 10_000) -> list[Violation]:
+        """Up to ``limit`` violations; ``violations`` has all, as a DataFrame."""
         self._store.check_open()
         (context or Context()).check()
-        return [Violation(*r) for r in self.violations().collect()]
+        return [Violation(*r) for r in self.violations().limit(limit).collect()]
 
     # -- end -------------------------------------------------------------------
 

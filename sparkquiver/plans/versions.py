@@ -2,14 +2,17 @@
 
 A version is a list of files: node rows, removed ids, edge id counters, edge rows and edge deletions, each with the
 number of the version that wrote it. A mutation writes only what it changes and makes a new list; reading merges
-them. When a version has many segments they are rewritten into one, which changes nothing that can be read.
+them. When a version has many segments they are rewritten into one, which changes nothing that can be read. The head's
+list is a small file beside the segments, so another driver can open the graph where this one left it.
 """
 
 from __future__ import annotations
 
+import json
 import threading
+import uuid
 from contextlib import contextmanager
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +39,16 @@ class Version:
     node_count: int = 0
     next_id: int = 0
     removed_count: int = 0
+    #: The last epoch of each stream that was applied.
+    epochs: dict[str, int] = field(default_factory=dict)
+
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @staticmethod
+    def from_json(text: str) -> Version:
+        found = json.loads(text)
+        return Version(**found | {"files": {k: tuple(v) for k, v in found["files"].items()}})
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
         if not self.files[name]:
@@ -64,18 +77,24 @@ class Version:
         return rows.select("src", "dst", "relation", "flags", "edge_id")
 
 
+_HEAD = "head-"
+
+
 class VersionStore:
     """The head version, its pins and the single writer."""
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.folder = folder or storage.new_folder(spark, "graph")
-        self.head = Version(0)
+        self.folder = (folder or storage.new_folder(spark, "graph")).rstrip("/")
+        heads = [n for n in storage.names(spark, self.folder) if n.startswith(_HEAD) and not n.endswith(".part")]
+        self.head = Version.from_json(storage.read_text(spark, f"{self.folder}/{heads[-1]}")) if heads else Version(0)
         self.closed = False
         self._pins: dict[int, tuple[Version, int]] = {}
-        self._lock, self._writer = threading.Lock(), threading.Lock()
-        self._written = 0
+        self._lock, self._writer = threading.RLock(), threading.Lock()
         self._retired: set[str] = set()
+        if heads:  # segments that the head does not read are left over from another driver
+            used = {p.rsplit("/", 1)[-1] for paths in self.head.files.values() for p in paths}
+            self._retired = {f"{self.folder}/{n}" for n in storage.names(spark, self.folder) if not n.startswith(_HEAD) and n not in used}
 
     @contextmanager
     def writing(self):
@@ -94,23 +113,23 @@ class VersionStore:
 
     def segment(self, name: str, df: DataFrame, number: int) -> str:
         """Write rows that version ``number`` adds."""
-        self._written += 1
-        path = f"{self.folder}/{name}-{number}-{self._written}"
+        path = f"{self.folder}/{name}-{number}-{uuid.uuid4().hex[:12]}"
         columns = SCHEMAS[name].replace(",", "").split()[::2][:-1]
         kinds = SCHEMAS[name].replace(",", "").split()[1::2]
         df.select(*(F.col(c).cast(k).alias(c) for c, k in zip(columns, kinds)), F.lit(number).cast("long").alias("at")).write.parquet(path)
         return path
 
-    def publish(self, base: Version, added: dict[str, DataFrame], **changes) -> Version:
-        """Write segments and swap the head."""
-        number = base.number + 1
-        files = dict(base.files)
-        for name, df in added.items():
-            files[name] = (*files[name], self.segment(name, df, number))
-        new = replace(base, number=number, files=files, **changes)
+    def publish(self, base: Version, *steps: dict[str, DataFrame], **changes) -> Version:
+        """Write the segments of one or more steps, each of which sees those before it, and swap the head once."""
+        number, files = base.number, dict(base.files)
+        for added in steps:
+            number += 1
+            for name, df in added.items():
+                files[name] = (*files[name], self.segment(name, df, number))
+        new = replace(base, number=max(number, base.number + 1), files=files, **changes)
         if max(map(len, files.values())) > MOST_SEGMENTS:
             new = self.compacted(new)
-        self.head = new
+        self.replace_head(new)
         return new
 
     def compacted(self, v: Version, edges: DataFrame | None = None) -> Version:
@@ -129,7 +148,12 @@ class VersionStore:
         return replace(v, number=number, files=files)
 
     def replace_head(self, new: Version) -> None:
-        self.head = new
+        """From here on ``new`` is what reads and other drivers find."""
+        storage.write_text(self.spark, f"{self.folder}/{_HEAD}{new.number:012d}", new.to_json())
+        with self._lock:
+            old, self.head = self.head, new
+        if old.number != new.number:
+            storage.delete(self.spark, f"{self.folder}/{_HEAD}{old.number:012d}")
 
     def pin(self, v: Version | None = None) -> Version:
         with self._lock:

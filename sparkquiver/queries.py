@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkquiver.builder import GraphBuilder
-from sparkquiver.errors import EdgeAlreadyExists
+from sparkquiver.errors import Cancelled, ConcurrentMutation, CorruptGraph, EdgeAlreadyExists, GraphBusy
 from sparkquiver.graph import Graph
 from sparkquiver.operators import algorithms, relops, validate
+from sparkquiver.plans import storage
 from sparkquiver.schema import EdgeInput, GraphOptions
 from sparkquiver.sources import datasets
+from sparkquiver.streaming.mutation_log import LOG_SCHEMA, MutationLog
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -347,6 +349,44 @@ def edges_after_repair(spark, sf_dir):
     return relops.repair(*_transitions(spark, sf_dir)).select("src", "dst", "event_id")
 
 
+def _with_debt(spark, sf_dir) -> Graph:
+    """The graph of transitions after nodes that are 3 modulo 7 were removed and before any repair."""
+    g = _graph(spark, sf_dir, datasets.transitions, True)
+    g.remove_nodes_df(g.nodes.filter(F.pmod("id", F.lit(7)) == 3))
+    return g
+
+
+#: Physical edges with debt: those between two removed nodes went with the removal.
+_OWED = f"""WITH {_T}{_DEBT}, d AS (SELECT id FROM f UNION SELECT id FROM b), p AS (SELECT * FROM e WHERE src % 7 <> 3 OR dst % 7 <> 3)"""
+
+
+@query(f"{_OWED} SELECT src, dst, count(*) AS n, TRUE AS repaired_fwd, TRUE AS repaired_rev FROM p WHERE NOT (src % 7 = 3 AND dst = 5) AND NOT (src = 5 AND dst % 7 = 3) GROUP BY src, dst")
+def repair_node_edges(spark, sf_dir):
+    g = _with_debt(spark, sf_dir)
+    done = g.repair_node(5)
+    return g.edges.groupBy("src", "dst").agg(F.count("*").alias("n")).withColumns(
+        {"repaired_fwd": F.lit(done.repaired_fwd), "repaired_rev": F.lit(done.repaired_rev)})
+
+
+@query(f"""{_OWED}, r AS (SELECT id FROM d ORDER BY id LIMIT 10) SELECT src, dst, count(*) AS n, (SELECT count(*) FROM r) AS repaired FROM p
+ WHERE NOT (src % 7 = 3 AND dst IN (SELECT id FROM r)) AND NOT (src IN (SELECT id FROM r) AND dst % 7 = 3) GROUP BY src, dst""")
+def repair_budgeted_edges(spark, sf_dir):
+    g = _with_debt(spark, sf_dir)
+    n = g.repair_budgeted(10)
+    return g.edges.groupBy("src", "dst").agg(F.count("*").alias("n")).withColumn("repaired", F.lit(n).cast("long"))
+
+
+@query(f"{_OWED} SELECT (SELECT count(*) FROM d) AS before_repair, (SELECT greatest(count(*) - 7, 0) FROM d) AS after_one, 0::BIGINT AS after_all")
+def repair_until_none(spark, sf_dir):
+    g = _with_debt(spark, sf_dir)
+    before = g.debt().count()
+    g.repair_budgeted(7)
+    after = g.debt().count()
+    while g.repair_budgeted(1000):
+        pass
+    return _one(spark, before_repair=before, after_one=after, after_all=g.debt().count())
+
+
 # -- traversals ---------------------------------------------------------------------
 
 
@@ -378,6 +418,41 @@ def dfs_order_tree(spark, sf_dir):
 
 
 
+_STACK = """, adj AS (SELECT src, list(DISTINCT dst ORDER BY dst DESC) AS ns FROM v GROUP BY src),
+ s(step, stack, seen) AS (SELECT 0, [0::BIGINT], []::BIGINT[] UNION ALL
+  SELECT step + 1, list_concat(list_slice(stack, 1, len(stack) - 1), CASE WHEN list_contains(seen, stack[-1]) THEN [] ELSE coalesce(ns, []) END),
+   CASE WHEN list_contains(seen, stack[-1]) THEN seen ELSE list_append(seen, stack[-1]) END FROM s LEFT JOIN adj ON adj.src = s.stack[-1] WHERE len(stack) > 0),
+ z AS (SELECT seen FROM s WHERE len(stack) = 0)"""
+
+
+@query(f"WITH RECURSIVE {_T}{_LIVE}{_STACK} SELECT unnest(range(len(seen))) AS pos, unnest(seen) AS id FROM z")
+def dfs_order_digraph(spark, sf_dir):
+    return algorithms.dfs(_seen(*_transitions(spark, sf_dir)), 0)
+
+
+@query(f"""WITH RECURSIVE {_H}, p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON e.src = p.dst)
+ SELECT count(*) FILTER (src = dst) > 0 AS tree, count(*) FILTER (src = 0 AND dst = 1000) > 0 AS with_back_edge FROM p""")
+def has_cycle_distributed(spark, sf_dir):
+    edges, ctx = datasets.hierarchy(spark, sf_dir)[1].select("src", "dst"), algorithms.Context(local_edges=0)
+    back = edges.unionByName(spark.sql("SELECT 1000L AS src, 0L AS dst"))
+    return _one(spark, tree=algorithms.has_cycle(edges, ctx), with_back_edge=algorithms.has_cycle(back, ctx))
+
+
+@query("SELECT TRUE AS bfs, TRUE AS dfs, TRUE AS has_cycle, count(*) AS regions FROM region")
+def cancelled_calls(spark, sf_dir):
+    g, token = _graph(spark, sf_dir), algorithms.CancelToken()
+    token.cancel()
+    ctx, refused = algorithms.Context(token), {}
+    with g.snapshot() as s:
+        for name, call in (("bfs", lambda: s.bfs(0, ctx)), ("dfs", lambda: s.dfs(0, ctx)), ("has_cycle", lambda: s.has_cycle(ctx))):
+            try:
+                call()
+                refused[name] = False
+            except Cancelled:
+                refused[name] = True
+        return _one(spark, regions=s.out_degree(0), **refused)
+
+
 @query(f"WITH RECURSIVE {_T}{_LIVE}, p AS (SELECT DISTINCT src, dst FROM v UNION SELECT p.src, v.dst FROM p JOIN v ON v.src = p.dst) SELECT count(*) FILTER (src = dst) > 0 AS has_cycle FROM p")
 def has_cycle_cyclic(spark, sf_dir):
     return _one(spark, has_cycle=algorithms.has_cycle(_seen(*_transitions(spark, sf_dir))))
@@ -402,10 +477,83 @@ def has_cycle_after_removal(spark, sf_dir):
 # -- validation, versions -------------------------------------------------------------
 
 
-@query("SELECT count(*) AS violations FROM region WHERE FALSE")
+_BROKEN = f"""WITH {_T}, i AS (SELECT src, dst, {_IDS} AS edge_id FROM e), x AS (SELECT src, CASE WHEN edge_id = 2 THEN 1000000 ELSE dst END AS dst, edge_id FROM i)
+ SELECT 'invalid_dst' AS kind, count(*) AS n FROM x WHERE dst = 1000000"""
+
+
+def _broken(spark, sf_dir) -> Graph:
+    """The graph of transitions with each source's second edge to a node that does not exist."""
+    nodes, edges = datasets.transitions(spark, sf_dir)
+    edges = _numbered(edges, "dst", "ts", "event_id")
+    nodes = nodes.drop("next_edge_id").join(relops.counters(edges), "id", "left").fillna(1, ["next_edge_id"])
+    edges = edges.withColumn("dst", F.when(F.col("edge_id") == 2, 1000000).otherwise(F.col("dst")))
+    return Graph.adopt(spark, nodes, edges.select("src", "dst", "relation", "flags", "edge_id"), GraphOptions(multigraph=True))
+
+
+@query(_BROKEN)
+def validate_graph(spark, sf_dir):
+    return _broken(spark, sf_dir).violations().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(_BROKEN)
+def validate_snapshot(spark, sf_dir):
+    with _broken(spark, sf_dir).snapshot() as s:
+        return s.violations().groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"{_BROKEN.replace('count(*) AS n', 'min(src) IS NOT NULL AS graph_refuses, min(src) IS NOT NULL AS snapshot_refuses, count(*) AS listed')}")
+def validate_calls(spark, sf_dir):
+    g = _broken(spark, sf_dir)
+    with g.snapshot() as s:
+        refused, kinds = [], set()
+        for x in (g, s):
+            try:
+                x.validate()
+                refused.append(False)
+            except CorruptGraph as e:
+                refused.append(True)
+                kinds.add(e.args[0].kind)
+        listed = len(g.debug_validate())
+    return _one(spark, graph_refuses=refused[0], snapshot_refuses=refused[1], listed=listed).withColumn("kind", F.lit(",".join(sorted(kinds))))
+
+
+@query(f"WITH {_T} SELECT 0::BIGINT AS violations, count(*) AS edge_count FROM e")
 def validate_clean(spark, sf_dir):
     g = _graph(spark, sf_dir, datasets.transitions, True)
-    return g.violations().agg(F.count("*").alias("violations"))
+    return g.violations().agg(F.count("*").alias("violations")).withColumn("edge_count", F.lit(g.edge_count()).cast("long"))
+
+
+#: The reverse copy lacks edges to 5, has those to 6 twice and one that the edges lack; cached degrees of 7 and 8 are off by one.
+_COPY = f"""WITH {_T}, w AS (SELECT src, dst, count(*) AS n FROM e GROUP BY src, dst), r AS (SELECT src, dst, CASE WHEN dst = 5 THEN 0 WHEN dst = 6 THEN 2 * n ELSE n END AS m FROM w),
+ t AS (SELECT sum(n)::BIGINT AS n, sum(m)::BIGINT AS m FROM w JOIN r USING (src, dst)), o AS (SELECT src AS id, count(*) AS d FROM e GROUP BY src), j AS (SELECT dst AS id, count(*) AS d FROM e GROUP BY dst)
+ SELECT 'forward_reverse_mismatch' AS kind, src AS node, dst, n AS expected, m::BIGINT AS actual FROM w JOIN r USING (src, dst) WHERE m = 0
+ UNION ALL SELECT 'forward_reverse_mismatch', 1000000, 5, 0, 1
+ UNION ALL SELECT 'forward_reverse_multiplicity_mismatch', src, dst, n, m FROM w JOIN r USING (src, dst) WHERE m > 0 AND m <> n
+ UNION ALL SELECT 'forward_reverse_count_mismatch', -1, -1, n, m + 1 FROM t WHERE n <> m + 1
+ UNION ALL SELECT 'degree_mismatch', id, -1, d, d + 1 FROM o WHERE id = 7 UNION ALL SELECT 'degree_mismatch', id, -1, d, d - 1 FROM j WHERE id = 8
+ UNION ALL SELECT 'edge_count_mismatch', -1, -1, (SELECT count(*) FROM e), 17"""
+
+
+@query(_COPY)
+def violations_of_copies(spark, sf_dir):
+    nodes, edges = datasets.transitions(spark, sf_dir)
+    edges = _numbered(edges, "dst", "ts", "event_id")
+    times = F.when(F.col("dst") == 5, 0).when(F.col("dst") == 6, 2).otherwise(1)
+    reverse = edges.select("src", "dst", F.explode(F.array_repeat(F.lit(1), times))).select("src", "dst").unionByName(spark.sql("SELECT 1000000L AS src, 5L AS dst"))
+    degrees = relops.out_degree(nodes, edges).withColumnRenamed("degree", "out_degree").join(relops.in_degree(nodes, edges).withColumnRenamed("degree", "in_degree"), "id")
+    degrees = degrees.withColumn("out_degree", F.col("out_degree") + (F.col("id") == 7).cast("int")).withColumn("in_degree", F.col("in_degree") - (F.col("id") == 8).cast("int"))
+    counters = nodes.withColumn("next_edge_id", F.lit(1 << 40))
+    found = validate.violations(counters, edges, True, reverse, degrees, 17)
+    return found.select("kind", F.coalesce("node", F.lit(-1)).alias("node"), F.coalesce("dst", F.lit(-1)).alias("dst"), "expected", "actual")
+
+
+@query(f"""WITH {_T}, p AS (SELECT src, dst FROM e WHERE src % 7 = 3 AND dst % 7 = 3)
+ SELECT 'removed_node_has_outgoing' AS kind, src AS node, count(*) AS n FROM p GROUP BY src
+ UNION ALL SELECT 'removed_node_has_reverse_residual', dst, count(*) FROM p GROUP BY dst""")
+def violations_of_removed(spark, sf_dir):
+    nodes, edges = _transitions(spark, sf_dir)
+    found = validate.violations(nodes.withColumn("next_edge_id", F.lit(1 << 40)), edges, True, reverse=edges.select("src", "dst"))
+    return found.groupBy("kind", "node").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_T}, i AS (SELECT src, dst, {_IDS} AS edge_id FROM e),
@@ -438,4 +586,134 @@ def snapshot_isolation(spark, sf_dir):
         return _one(spark, before_mutation=before, in_snapshot=snapshot.visible.count(), in_session=session.visible.count())
 
 
+@query(f"WITH {_H} SELECT TRUE AS in_graph, TRUE AS in_session, (SELECT count(*) FROM e WHERE src = 1000) > 0 AS in_snapshot, FALSE AS of_removed, count(*) FILTER (src = 0) AS regions FROM e")
+def has_edge(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    with g.snapshot() as before, g.read_session() as session:
+        g.add_edge(1000, 0)
+        found = {"in_graph": g.has_edge(1000, 0), "in_session": session.has_edge(1000, 0), "in_snapshot": before.has_edge(1000, 0)}
+        g.remove_node(1000)
+        return _one(spark, of_removed=session.has_edge(1000, 0), regions=session.out_degree(0), **found)
+
+
+@query(f"WITH {_H}, x AS (SELECT src, dst FROM e UNION ALL SELECT 0, 1001) SELECT row_number() OVER (ORDER BY dst) - 1 AS ord, dst AS neighbor, (SELECT count(*) FROM x WHERE dst = 1001) AS in_degree FROM x WHERE src = 0")
+def session_reads(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    with g.read_session() as session:
+        g.add_edge(0, 1001)
+        rows = [(i, n, session.in_degree(1001)) for i, n in enumerate(session.neighbors(0))]
+    return spark.createDataFrame(rows, "ord long, neighbor long, in_degree long")
+
+
+@query(f"WITH {_T} SELECT row_number() OVER (ORDER BY src) - 1 AS ord, src AS neighbor, row_number() OVER (ORDER BY src) > 2 AS materialized FROM e WHERE dst = 5")
+def iterator_reads(spark, sf_dir):
+    """Two calls of ``next``, and ``materialize`` for what is left."""
+    with _graph(spark, sf_dir, datasets.transitions, True).snapshot() as s:
+        it = s.in_neighbors(5)
+        first = [it.next(), it.next()]
+        rows = [(i, n, i > 1) for i, n in enumerate([*(n for n in first if n is not None), *it.materialize()])]
+    return spark.createDataFrame(rows, "ord long, neighbor long, materialized boolean")
+
+
+@query(f"WITH {_T}, i AS (SELECT *, {_IDS} AS edge_id FROM e) SELECT edge_id, dst, relation::BIGINT AS relation, 0::BIGINT AS flags FROM i WHERE src = 5")
+def snapshot_out_edges(spark, sf_dir):
+    with _graph(spark, sf_dir, datasets.transitions, True).snapshot() as s:
+        return spark.createDataFrame(s.out_edges(5).materialize(), "edge_id long, dst long, relation long, flags long")
+
+
+@query(f"WITH {_H} SELECT row_number() OVER (ORDER BY dst) - 1 AS ord, dst AS neighbor, TRUE AS busy, (SELECT count(*) FROM e) + 25 AS edge_count FROM e WHERE src = 0")
+def reclaim_under_reads(spark, sf_dir):
+    """An iterator of a session outlives a rewriting of all segments and the deletion of what was replaced."""
+    g = _graph(spark, sf_dir)
+    with g.read_session() as session:
+        g.add_edge(1000, 1001)
+        it = session.neighbors(0)
+    for i in range(24):  # enough segments to be rewritten
+        g.add_edge(1000, 1002 + i)
+    g.reclaim_retired()
+    try:
+        g.deinit_checked()
+        busy = False
+    except GraphBusy:
+        busy = True
+    rows = [(i, n, busy, g.edge_count()) for i, n in enumerate(it.materialize())]
+    g.deinit_checked()
+    return spark.createDataFrame(rows, "ord long, neighbor long, busy boolean, edge_count long")
+
+
+@query("SELECT 3::BIGINT AS version, 5::BIGINT AS segments, TRUE AS some_files, TRUE AS some_bytes, count(*) AS regions FROM region")
+def storage_stats(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    g.add_edge(1000, 1001)
+    g.remove_edge(1000, 1001)
+    s = g.storage_stats()
+    with g.snapshot() as snapshot:
+        return _one(spark, version=s.version, segments=s.segments, some_files=s.files > 0, some_bytes=s.bytes > 0, regions=snapshot.out_degree(0))
+
+
+@query("SELECT TRUE AS writer_refused, TRUE AS close_refused, TRUE AS closed_refuses, 0::BIGINT AS count_after, count(*) + 1 AS regions FROM region")
+def closing(spark, sf_dir):
+    """One writer at a time; a graph closes only when nothing reads it, and refuses everything afterwards."""
+    g, said = _graph(spark, sf_dir), {}
+
+    def refuses(error, call) -> bool:
+        try:
+            call()
+        except error:
+            return True
+        return False
+
+    with g._store.writing():
+        said["writer_refused"] = refuses(ConcurrentMutation, lambda: g.add_node())
+    with g.snapshot() as s:
+        said["close_refused"] = refuses(GraphBusy, g.deinit_checked) and refuses(RuntimeError, g.deinit)
+        regions = s.out_degree(0) + 1
+    g.deinit()
+    said["closed_refuses"] = refuses(GraphBusy, g.snapshot) and refuses(GraphBusy, g.read_session) and refuses(GraphBusy, g.add_node)
+    return _one(spark, count_after=g.node_count(), regions=regions, **said)
+
+
+@query("SELECT 0::BIGINT AS src, r_regionkey + 1::BIGINT AS dst, r_regionkey::BIGINT AS relation, 1 + row_number() OVER (ORDER BY r_regionkey) - 1 AS edge_id FROM region")
+def builder_single(spark, sf_dir):
+    """A builder's nodes and edges, added one by one in falling order."""
+    keys = [r[0] for r in spark.read.parquet(f"{sf_dir}/region.parquet").orderBy(F.desc("r_regionkey")).select("r_regionkey").collect()]
+    b = GraphBuilder(spark, GraphOptions(multigraph=True))
+    for _ in range(len(keys) + 1):
+        b.add_node()
+    for k in keys:
+        b.add_edge(0, k + 1, relation=k)
+    return b.freeze().edges.select("src", "dst", F.col("relation").cast("long").alias("relation"), "edge_id")
+
+
+@query(f"WITH {_T}, i AS (SELECT src, dst, {_IDS} AS edge_id FROM e) SELECT src, dst, edge_id FROM i WHERE src <> 5 AND dst <> 5")
+def save_and_load(spark, sf_dir):
+    g = _graph(spark, sf_dir, datasets.transitions, True)
+    g.remove_node(5)
+    path = storage.new_folder(spark, "saved")
+    g.save(path)
+    return Graph.load(spark, path, g.options).visible.select("src", "dst", "edge_id")
+
+
+@query(f"WITH {_H} SELECT src, dst FROM e WHERE src <> 103 AND dst <> 103 UNION ALL SELECT 1000, 0")
+def reopened(spark, sf_dir):
+    """What another driver finds in the folder of a graph that was changed."""
+    g = _graph(spark, sf_dir)
+    g.add_edge(1000, 0)
+    g.remove_node(103)
+    return Graph(spark, g.options, g._store.folder).visible.select("src", "dst")
+
+
+@query(f"WITH {_H} SELECT src, dst, FALSE AS second, 0::BIGINT AS epoch FROM (SELECT * FROM e UNION ALL SELECT 0, 1001) WHERE NOT (src = 0 AND dst = 2) AND src <> 103 AND dst <> 103")
+def mutation_log_replay(spark, sf_dir):
+    """A micro-batch of adds, a removed edge and a removed node, applied twice through two logs."""
+    g = _graph(spark, sf_dir)
+    rows = [("add_edge", 0, 1001, 0, 0, 0), ("add_edge", 0, 103, 0, 0, 1), ("remove_edge", 0, 2, 0, 0, 2), ("remove_node", 103, None, 0, 0, 3)]
+    batch = spark.createDataFrame(rows, LOG_SCHEMA)
+    MutationLog(g).apply(batch, 0)
+    version = g.storage_stats().version
+    log = MutationLog(g)
+    log.apply(batch, 0)
+    return g.visible.select("src", "dst", F.lit(g.storage_stats().version != version).alias("second"), F.lit(log.epoch).cast("long").alias("epoch"))
+
+
 ENTRY = bfs_order

@@ -11,9 +11,6 @@ NODE_SCHEMA = T.StructType([
 EDGE_SCHEMA = T.StructType([
     T.StructField("src", T.LongType(), False), T.StructField("dst", T.LongType(), False), T.StructField("relation", T.IntegerType(), False),
     T.StructField("flags", T.IntegerType(), False), T.StructField("edge_id", T.LongType(), True)])
-BATCH_SCHEMA = T.StructType([
-    T.StructField("destination", T.LongType()), T.StructField("relation", T.IntegerType()), T.StructField("flags", T.IntegerType())])
-
 MAX_U16 = (1 << 16) - 1
 #: Edge ids run from 1 to one less than this.
 EDGE_ID_END = (1 << 32) - 1

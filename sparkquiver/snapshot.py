@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -15,12 +16,17 @@ from sparkquiver.results import EdgeRef, Violation
 
 
 class NodeIterator:
-    """Local iteration over a read's rows; ``materialize`` takes all that are left, after which ``next`` is None."""
+    """Local iteration over a read's rows; ``materialize`` takes all that are left, after which ``next`` is None.
 
-    def __init__(self, df: DataFrame, make=lambda r: r[0]):
+    The version that is read stays pinned until the iterator ends, is closed or is dropped, so what it has still to
+    read cannot be reclaimed.
+    """
+
+    def __init__(self, df: DataFrame, make=lambda r: r[0], pinned: tuple[VersionStore, Version] | None = None):
         self.df, self._make = df, make
         self._rows: Iterator | None = None
         self._over = False
+        self._unpin = weakref.finalize(self, VersionStore.unpin, *pinned) if pinned else lambda: None
 
     def next(self):
         if self._over:
@@ -29,7 +35,7 @@ class NodeIterator:
             self._rows = self.df.toLocalIterator()
         row = next(self._rows, None)
         if row is None:
-            self._over = True
+            self.deinit()
             return None
         return self._make(row)
 
@@ -39,11 +45,12 @@ class NodeIterator:
 
     def materialize(self) -> list:
         out = list(self)
-        self._over = True
+        self.deinit()
         return out
 
     def deinit(self) -> None:
         self._over, self._rows = True, None
+        self._unpin()
 
 
 class _Reads:
@@ -73,20 +80,36 @@ class _Reads:
         return self._version().node_count
 
     def has_node(self, node: int) -> bool:
-        return not relops.live(self.nodes).filter(F.col("id") == node).isEmpty()
+        return self._has(node, self._version())
+
+    def has_edge(self, source: int, destination: int) -> bool:
+        return not self._ends(source, "src", "dst").filter(F.col("dst") == destination).isEmpty() and self.has_node(source)
 
-    def _live(self, node: int) -> None:
-        if not self.has_node(node):
+    def _has(self, node: int, v: Version) -> bool:
+        return not relops.live(v.nodes(self._store.spark)).filter(F.col("id") == node).isEmpty()
+
+    def _live(self, node: int, v: Version | None = None) -> None:
+        if not self._has(node, v or self._version()):
             raise InvalidNode(node)
 
-    def _ends(self, node: int, near: str, far: str) -> DataFrame:
+    def _ends(self, node: int, near: str, far: str, v: Version | None = None) -> DataFrame:
         """The visible edges of one node on one side: the filter on the node reaches the files."""
-        v, spark = self._version(), self._store.spark
+        v, spark = v or self._version(), self._store.spark
         rows = v.edges(spark).filter(F.col(near) == node)
         if v.removed_count:
             rows = rows.join(relops.removed(v.nodes(spark)).withColumnRenamed("id", far), far, "left_anti")
         return rows
 
+    def _iterate(self, node: int, near: str, far: str, make=lambda r: r[0], *columns: str) -> NodeIterator:
+        v = self._store.pin(self._version())
+        try:
+            self._live(node, v)
+            rows = self._ends(node, near, far, v).orderBy(far, "edge_id").select(*(columns or (far,)))
+            return NodeIterator(rows, make, (self._store, v))
+        except BaseException:
+            self._store.unpin(v)
+            raise
+
     def neighbors_df(self, node: int) -> DataFrame:
         self._live(node)
         return self._ends(node, "src", "dst").orderBy("dst", "edge_id").select(F.col("dst").alias("id"))
@@ -97,10 +120,10 @@ class _Reads:
 
     def neighbors(self, node: int) -> NodeIterator:
         """Out-neighbours by ascending id; parallel edges repeat."""
-        return NodeIterator(self.neighbors_df(node))
+        return self._iterate(node, "src", "dst")
 
     def in_neighbors(self, node: int) -> NodeIterator:
-        return NodeIterator(self.in_neighbors_df(node))
+        return self._iterate(node, "dst", "src")
 
     def out_degree(self, node: int) -> int:
         self._live(node)
@@ -112,20 +135,28 @@ class _Reads:
 
 
 class ReadSession(_Reads):
-    """Each read sees the head of its moment. Opening one reads nothing."""
+    """Each read sees the head of its moment. Opening one reads nothing. Versions that it has read stay until it closes."""
 
     def __init__(self, store: VersionStore, multigraph: bool):
         self._store, self.multigraph = store, multigraph
-        self._pin = store.pin()
+        first = store.pin()
+        self._pins: dict[int, Version] | None = {first.number: first}
 
     def _version(self) -> Version:
         self._store.check_open()
-        return self._store.head
+        if self._pins is None:
+            raise UnsupportedOperation("the session is closed")
+        v = self._store.pin()
+        if v.number in self._pins:
+            self._store.unpin(v)
+        else:
+            self._pins[v.number] = v
+        return v
 
     def deinit(self) -> None:
-        if self._pin is not None:
-            self._store.unpin(self._pin)
-            self._pin = None
+        for v in (self._pins or {}).values():
+            self._store.unpin(v)
+        self._pins = None
 
     def __enter__(self):
         return self
@@ -178,7 +209,9 @@ class ReadSnapshot(_Reads):
         return self._ends(node, "src", "dst").orderBy("dst", "edge_id").select("edge_id", "dst", "relation", "flags")
 
     def out_edges(self, node: int) -> NodeIterator:
-        return NodeIterator(self.out_edges_df(node), lambda r: EdgeRef(*r))
+        if not self.multigraph:
+            raise UnsupportedOperation("edge ids, relations and flags are read in multigraphs only")
+        return self._iterate(node, "src", "dst", lambda r: EdgeRef(*r), "edge_id", "dst", "relation", "flags")
 
     def bfs_df(self, start: int, context: Context | None = None) -> DataFrame:
         self._live(start)
@@ -206,6 +239,7 @@ class ReadSnapshot(_Reads):
         if found:
             raise CorruptGraph(Violation(*found[0]))
 
-    def debug_validate(self, context: Context | None = None) -> list[Violation]:
+    def debug_validate(self, context: Context | None = None, limit: int = 10_000) -> list[Violation]:
+        """Up to ``limit`` violations; ``violations`` has all, as a DataFrame."""
         (context or Context()).check()
-        return [Violation(*r) for r in self.violations().collect()]
+        return [Violation(*r) for r in self.violations().limit(limit).collect()]

@@ -34,11 +34,6 @@ def transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return _nodes(events.select("user_id")), _edges(edges, F.col("user_id"), F.col("dst"), kinds, "ts", "event_id")
 
 
-def transitions_simple(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    nodes, edges = transitions(spark, sf_dir)
-    return nodes, edges.select("src", "dst").distinct().select("src", "dst", F.lit(0).alias("relation"), F.lit(0).alias("flags"))
-
-
 def hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A tree: 0, regions from 1, nations from 100, customers from 1000."""
     region, nation, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "customer"))

@@ -1,4 +1,4 @@
-"""Applying a stream of mutations to a graph, one version or a few for each micro-batch."""
+"""Applying a stream of mutations to a graph, one version for each micro-batch."""
 
 from __future__ import annotations
 
@@ -14,26 +14,22 @@ LOG_SCHEMA = "op string, src long, dst long, relation int, flags int, ord long"
 class MutationLog:
     """Rows (op, src, dst, relation, flags, ord) with op add_edge, remove_edge or remove_node (of src).
 
-    Within a micro-batch edges are added, then edges removed, then nodes, each as one batch. An epoch that was
-    applied before is passed over, so a batch that the stream repeats changes nothing.
+    Within a micro-batch edges are added, then edges removed, then nodes: all or nothing, as one version that also
+    holds the epoch under the log's ``name``. So a batch that the stream repeats changes nothing, whether it is this
+    object that sees it again or a new one, and a batch that fails has left nothing behind.
     """
 
-    def __init__(self, graph: Graph):
-        self.graph, self.epoch = graph, -1
+    def __init__(self, graph: Graph, name: str = "log"):
+        self.graph, self.name = graph, name
+
+    @property
+    def epoch(self) -> int:
+        return self.graph.epoch(self.name)
 
     def apply(self, batch: DataFrame, epoch: int) -> None:
-        if epoch <= self.epoch:
-            return
-        batch = batch.persist()
-        try:
-            self.graph.add_edges_df(batch.filter("op = 'add_edge'").select("src", "dst", "relation", "flags", "ord"))
-            for r in batch.filter("op = 'remove_edge'").select("src", "dst").distinct().toLocalIterator():
-                self.graph.remove_edge(r["src"], r["dst"])
-            gone = batch.filter("op = 'remove_node'").select(F.col("src").alias("id"))
-            self.graph.remove_nodes_df(gone)
-        finally:
-            batch.unpersist()
-        self.epoch = epoch
+        self.graph.apply(batch.filter("op = 'add_edge'").select("src", "dst", "relation", "flags", "ord"),
+                         batch.filter("op = 'remove_edge'").select("src", "dst"),
+                         batch.filter("op = 'remove_node'").select(F.col("src").alias("id")), self.name, epoch)
 
     def follow(self, log: DataFrame, checkpoint: str) -> StreamingQuery:
         """Follow a streaming DataFrame of ``LOG_SCHEMA``."""

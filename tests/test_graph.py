@@ -1,6 +1,7 @@
 """Contracts of the graph's calls."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparkquiver import errors
 from sparkquiver.builder import GraphBuilder
@@ -234,3 +235,61 @@ def test_compaction_and_files(spark, tmp_path):
     h = Graph.load(spark, str(tmp_path / "g"))
     assert (h.node_count(), h.edge_count(), h.has_node(1)) == (3, 2, False)
     assert h.add_node() == 3
+
+
+def test_an_iterator_keeps_what_it_reads(spark, monkeypatch):
+    from sparkquiver.plans import versions
+
+    monkeypatch.setattr(versions, "MOST_SEGMENTS", 1)
+    g = build(spark, 4, [(0, 1), (0, 2)])
+    with g.read_session() as session:
+        g.add_edge(0, 3)
+        it = session.neighbors(0)
+        frame = session.neighbors_df(0)
+        g.add_edge(1, 2)  # rewrites all segments
+        g.reclaim_retired()
+        assert [r["id"] for r in frame.collect()] == [1, 2, 3]
+    with pytest.raises(errors.GraphBusy):
+        g.deinit_checked()
+    assert it.materialize() == [1, 2, 3]
+    dropped = g.snapshot()
+    dropped.neighbors(0).next()
+    dropped.deinit()
+    g.deinit_checked()
+
+
+def test_a_graph_outlives_its_driver(spark):
+    g = build(spark, 4, [(0, 1), (1, 2)], GraphOptions(multigraph=True))
+    assert g.add_edge_with_id(0, 3) == 2
+    g.remove_node(2)
+    again = Graph(spark, g.options, g._store.folder)
+    assert (again.node_count(), again.edge_count(), again.add_edge_with_id(0, 3)) == (4, 2, 3)
+    assert again._store.head.number == g._store.head.number + 1
+
+
+def test_point_mutations_filter_at_the_files(spark):
+    g = build(spark, 4, [(0, 1), (1, 2), (2, 3)])
+    v = g._store.head
+    own = v.edges(spark).filter((F.col("src") == 1) | (F.col("dst") == 1))
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(EqualTo(src,1),EqualTo(dst,1))]" in plan
+    assert g.remove_node(1).removed_visible_edges == 2
+    assert g.repair_node(2).repaired_rev and g.debt().count() == 1
+
+
+def test_no_private_folder_on_a_cluster(spark, monkeypatch):
+    from sparkquiver.plans import storage
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Conf:
+        @staticmethod
+        def get(key, default):
+            return default
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        storage.shared_dir(Session)
