@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquiver.llm._store import Store
+from sparkquiver.llm._text import tidy
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +51,7 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
     """(node, root) of every node of ``edges`` (two long columns) that is not the smallest of its component."""
     a, b = edges.columns
     edges = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v")
-    edges = store.put(edges.mapInArrow(_contract, "u long, v long").distinct())
+    edges = store.put(edges.mapInArrow(tidy(_contract), "u long, v long").distinct())
     mark = _mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -58,7 +59,7 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
         large = store.put(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         low2 = store.put(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low2, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = store.put(small.select("e.u", "e.v").filter("u > v").mapInArrow(_contract, "u long, v long").distinct())
+        new = store.put(small.select("e.u", "e.v").filter("u > v").mapInArrow(tidy(_contract), "u long, v long").distinct())
         found = _mark(new)
         store.drop(edges, low, large, low2)
         if found == mark:

@@ -337,6 +337,7 @@ def _units(texts: list[bytes], leading: bool) -> tuple[np.ndarray, np.ndarray, n
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
+_text.HELD["encoder"] = _encoders
 
 
 def encoder(file: TokenizerFile, counts_only: bool) -> Encoder:

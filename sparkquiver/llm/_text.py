@@ -10,11 +10,12 @@ base, modulo 2^64) with a final mix; a shingle's hash combines the hashes of its
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 SHINGLE_WORDS = 5
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -105,15 +106,13 @@ def words(texts: list[bytes], of: str = "words") -> tuple[np.ndarray, np.ndarray
     return mix((sums[end - 1] - before) * down), number, start, end
 
 
-def stems(texts: list[bytes], lengths: tuple[int, ...] = (4, 5, 6)) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text number) of every run of letters, and of its first bytes where it is longer than those."""
+def stems(texts: list[bytes], lengths: tuple[int, ...] = (4, 5, 6)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hash, text number) of every run of letters; then, for each length, of the first bytes of longer runs."""
     sums, before, down, number, start, end = _hashed(texts, "letters")
-    hashes, numbers = [mix((sums[end - 1] - before) * down)], [number]
+    yield mix((sums[end - 1] - before) * down), number
     for k in lengths:
         longer = end - start > k
-        hashes.append(mix((sums[start[longer] + k - 1] - before[longer]) * down[longer] + np.uint64(k)))
-        numbers.append(number[longer])
-    return np.concatenate(hashes), np.concatenate(numbers)
+        yield mix((sums[start[longer] + k - 1] - before[longer]) * down[longer] + np.uint64(k)), number[longer]
 
 
 def runs(number: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,6 +169,37 @@ def slices(batch, rows: int = 512):
         yield batch.slice(at, rows)
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give freed memory back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+#: What a worker, which lasts from task to task, keeps between tasks of one kind: caches by name.
+HELD: dict[str, dict] = {}
+
+
+def tidy(run, keeps: str = ""):
+    """``run`` over batches, in a worker that drops other operators' caches before it and freed memory after it."""
+
+    def tidied(batches):
+        for name, cache in HELD.items():
+            if name != keeps:
+                cache.clear()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return tidied
+
+
 def as_bytes(column) -> list[bytes]:
     """UTF-8 of each text of an Arrow array of strings; null is empty."""
     import pyarrow as pa

@@ -289,7 +289,7 @@ _SCAN_BYTES = 1 << 18
 
 def _scan(benchmark):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _text.slices(whole)):
             rows, texts, out = b.column(0).to_pylist(), _text.as_bytes(b.column(1)), []
             start, size = 0, 0
             for i, t in enumerate([*texts, b""]):
@@ -336,7 +336,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = _SCHEMA.replace("row long", f"row {kind}")
     out, total, often = None, None, None
     if parts > 1:  # weights are those of the whole benchmark, whatever block an item is in
-        count = items.select("text").mapInArrow(_item_shingles, "shingle long").groupBy("shingle").count()
+        count = items.select("text").mapInArrow(_text.tidy(_item_shingles), "shingle long").groupBy("shingle").count()
         several = count.filter("shingle IS NULL OR count > 1").toArrow()
         known = dict(zip(several.column("shingle").to_pylist(), several.column("count").to_pylist()))
         total = known.pop(None, 0)
@@ -344,6 +344,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for k in range(parts):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).toArrow()
         index = spark.sparkContext.broadcast(Benchmark(block.column("item_id").to_pylist(), [t.encode() for t in block.column("text").to_pylist()], total, often))
-        found = rows.mapInArrow(_scan(index), schema)
+        found = rows.mapInArrow(_text.tidy(_scan(index)), schema)
         out = found if out is None else out.unionByName(found)
     return out.select(F.col("row").alias(id_col), F.col("item_id").alias(item_col), "first_word", "similarity", "distance")

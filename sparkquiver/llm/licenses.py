@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquiver.llm._store import Store
-from sparkquiver.llm._text import slices
+from sparkquiver.llm._text import slices, tidy
 
 #: Words that follow "copyright" or "(c)" within licence texts, so that a line wrapped there is no copyright line (fixed values).
 BODY = ("also|and|are|disclaimer|doctrines|holders?|if|including|interests?|laws?|license|licence|like|line|more|notices?|of|on|or|owners?|ownership|patent"
@@ -232,7 +232,7 @@ def find_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, i
                                              ["row", "id", "whole", "digests"])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = store.put(rows.mapInArrow(scan, f"row long, id {rows.schema['id'].dataType.simpleString()}, whole string, digests array<string>"))
+    rows = store.put(rows.mapInArrow(tidy(scan), f"row long, id {rows.schema['id'].dataType.simpleString()}, whole string, digests array<string>"))
     table = F.broadcast(spark.createDataFrame(sorted(digests.items()), "digest string, license string"))
     every = rows.select("row", F.explode(F.array_union("digests", F.array("whole"))).alias("digest"))
     found = every.join(table, "digest").groupBy("row").agg(F.array_sort(F.collect_set("license")).alias("licenses"))

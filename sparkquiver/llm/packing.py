@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from sparkquiver.llm._encode import TokenizerFile, encoder
 from sparkquiver.llm._store import Store
-from sparkquiver.llm._text import as_bytes, slices
+from sparkquiver.llm._text import as_bytes, slices, tidy
 
 CAPACITY = 2048
 #: A bin with at most this many free tokens is final.
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     store = Store(spark)
     sent = spark.sparkContext.broadcast(TokenizerFile(tokenizer_path))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = store.put(rows.mapInArrow(_local(sent, capacity, end_id, keep_ids), _BINS))
+    packed = store.put(rows.mapInArrow(tidy(_local(sent, capacity, end_id, keep_ids), keeps="encoder"), _BINS))
     nearly = min(NEARLY, capacity - 1)
     done, level = [packed.filter(F.col("fill") >= capacity - nearly)], 0
     left = packed.filter(F.col("fill") < capacity - nearly)

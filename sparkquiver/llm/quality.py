@@ -81,7 +81,7 @@ def _chunk(texts: list[bytes]) -> np.ndarray:
     n_lines = np.bincount(line_of, minlength=count).astype(float)
     distinct_lines, _ = _distinct(lines, line_of, count)
     f |= {
-        "log_bytes": np.log1p(size), "log_words": np.log1p(n_words), "bytes_per_word": size / any_words, "longest_word": np.minimum(longest, 200),
+        "log_bytes": np.log1p(size), "log_words": np.log1p(n_words), "bytes_per_word": size / any_words, "longest_word": longest,
         "short_words": np.bincount(number, weights=length <= 3, minlength=count) / any_words, "log_lines": np.log1p(n_lines),
         "bytes_per_line": size / np.maximum(n_lines, 1), "distinct_words": distinct / any_words, "top_word": top / any_words,
         "distinct_lines": distinct_lines / np.maximum(n_lines, 1), "repeated_bigrams": 1 - distinct_pairs / n_pairs,
@@ -155,7 +155,7 @@ def grow(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: fl
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (part for whole in batches for part in _text.slices(whole)):
         x = statistics(_text.as_bytes(b.column(1)))
         rows = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
         yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), rows], ["label", "x"])
@@ -180,7 +180,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
     Rows with a null id or label are left out. Without any labelled text every score is 0.5.
     """
     sample = labelled_sample(docs, labels, sample_rows, id_col, text_col, label_col)
-    table = sample.mapInArrow(_statistics, "label int, x array<double>").toArrow()  # numbers only
+    table = sample.mapInArrow(_text.tidy(_statistics), "label int, x array<double>").toArrow()  # numbers only
     x = np.array(table.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     y = table.column("label").to_numpy().astype(float)
     order = np.lexsort((*x.T, y))  # the order in which rows arrive does not matter
@@ -196,10 +196,10 @@ def score_quality(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_co
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _text.slices(whole)):
             score = sent.value.score(statistics(_text.as_bytes(b.column(1))))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score)], ["id", "score"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    return (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_text.tidy(run), f"id {kind}, score double")
             .select(F.col("id").alias(id_col), "score"))

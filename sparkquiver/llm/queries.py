@@ -24,8 +24,8 @@ TOXIC = 0.5
 
 
 def held_out() -> Column:
-    """Rows that no model learns from."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """Rows that no model learns from; rows without an id have no label."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def tokenizer_path(name: str) -> str:

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from sparkquiver.llm._encode import TokenizerFile, encoder
 from sparkquiver.llm._store import Store
-from sparkquiver.llm._text import as_bytes, slices
+from sparkquiver.llm._text import as_bytes, slices, tidy
 
 CACHE_SCHEMA = T.StructType([T.StructField("content", T.BinaryType()), T.StructField("n_tokens", T.LongType()),
                              T.StructField("tokenizer", T.StringType())])
@@ -62,7 +62,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str, id_col:
 
     # Copies meet before the shuffle, in the map-side combine, and then at one task as one row each of its inputs.
     misses = rows.groupBy("content").agg(F.first("text").alias("text")).join(cached(), "content", "left_anti")
-    (misses.select("content", "text").mapInArrow(_counts(sent), "content binary, n_tokens long")
+    (misses.select("content", "text").mapInArrow(tidy(_counts(sent), keeps="encoder"), "content binary, n_tokens long")
      .withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path))
     # Calls at the same time may both have appended a text; their counts are equal.
     counts = store.put(cached().groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))

@@ -1,21 +1,21 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the first letters of longer words. A bounded sample of labelled rows gives the examples, and all
-their terms are indexed. Document frequencies are counted over all documents; a term that no example has counts as
-one of a single document, and takes part in the norm. The cosines of whole texts with all examples are computed: by
-a matrix product for the terms of most examples, by postings for the others.
-
-A second view has only the telling terms, those most associated with the label by chi-squared. Its index keeps, for
-each term and each block of examples, postings and their largest weight; a block whose upper bound cannot reach a
-document's k-th best cosine is skipped, so the k nearest are exact in both views. The distance-weighted votes of both
-are calibrated together by leave-one-out votes among the examples themselves.
+A bounded sample of labelled rows gives the examples. There are two views of a text, both searched exactly with a
+block-max index. In the first its terms are all its words; a word that no example has counts as one of a single
+document, and takes part in the norm. In the second they are the telling terms, words and beginnings of words whose
+chi-squared association with the label is strong. Document frequencies are counted over all documents.
+
+The index keeps examples that are alike in blocks. Of its most frequent terms each block has the weights and their
+largest; the other terms have postings. A query's sums over postings are exact; with the largest weights they bound
+what a block can reach, and only blocks whose bound reaches the k-th best cosine are computed. Distance-weighted
+votes of both views are calibrated together by leave-one-out votes among the examples.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,150 +29,155 @@ from sparkquiver.llm._store import Store
 EXAMPLES = 4096
 VOCABULARY = 512
 #: A term is telling if so many examples have it, as well as this share of the rarer label's (else the words of one
-#: group of copies look telling), if its chi-squared statistic is that large (p < 1e-5), and if examples of label 1
-#: have it so many times as often as others.
-LEAST_EXAMPLES, LEAST_SHARE, LEAST_CHI2, LEAST_LIFT = 5, 0.02, 19.5, 2.0
-NEIGHBOURS = 15
-BLOCK = 64
-#: Documents that are scored together.
-BATCH = 1024
-#: Terms of the most examples, whose cosines are a matrix product, and postings that are added up at a time.
-DENSE, HITS = 1024, 1 << 20
-#: Documents whose cosines with all examples are in memory at a time.
-ROWS = 128
-#: Distance that counts as none in votes of whole texts: a copy outweighs all other neighbours.
-COPY = 0.001
+#: group of copies look telling), and if its chi-squared statistic is that large (p < 1e-5).
+LEAST_EXAMPLES, LEAST_SHARE, LEAST_CHI2 = 5, 0.02, 19.5
+NEIGHBOURS = 31
+#: Examples in a block, and terms whose weights are kept by block; the others have postings.
+BLOCK, DENSE = 64, 512
+#: Queries at a time, and blocks of each that are computed before the others' bounds are looked at.
+ROWS, AHEAD = 128, 8
+#: Places whose largest score stands for them in the estimate of the k-th best.
+GROUP = 16
+#: Postings that are added up at a time.
+HITS = 1 << 20
+#: Distances that count as none in votes of whole texts, so that a copy outweighs all others, and of telling terms.
+COPY, TOLD = 0.001, 0.01
 _EPS = 1e-5
 
 
-def term_counts(texts: list[bytes], vocabulary: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """Per text: ascending numbers of the vocabulary's terms in it, how often each occurs, and the sum of the squares
-    of 1 + log of how often each of its other terms does."""
-    out = []
-    for a, b in _text.chunks(texts):
-        h, number = _text.stems(texts[a:b])
-        distinct, which = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(vocabulary, distinct), max(len(vocabulary) - 1, 0))
-        hit = vocabulary[at] == distinct if len(vocabulary) else np.zeros(len(distinct), dtype=bool)
-        key, times = np.unique(number * max(len(distinct), 1) + which, return_counts=True)
-        text, term = np.divmod(key, max(len(distinct), 1))
-        known = hit[term]
-        rest = np.bincount(text[~known], weights=(1 + np.log(times[~known])) ** 2, minlength=b - a)
-        # Hashes ascend as the vocabulary does, so each text's terms do.
-        text, term, times = text[known], at[term[known]], times[known]
-        cut = np.searchsorted(text, np.arange(b - a + 1))
-        out += [(term[i:j], times[i:j], float(r)) for i, j, r in zip(cut[:-1], cut[1:], rest)]
-    return out
+class Vectors(NamedTuple):
+    """Texts as ascending term numbers with counts: those of text i are at ``first[i]`` to ``first[i + 1]``. ``rest`` is
+    the sum of the squares of 1 + log of the counts of each text's terms without a number."""
 
+    first: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+    rest: np.ndarray
 
-@dataclass
-class BlockMaxIndex:
-    """Examples as unit vectors, by blocks: postings (``terms``, ``places``, ``weights`` of each block) and the
-    largest weight of each word in each block."""
+    def part(self, a: int, b: int) -> Vectors:
+        i, j = self.first[a], self.first[b]
+        return Vectors(self.first[a : b + 1] - i, self.terms[i:j], self.counts[i:j], self.rest[a:b])
 
-    block_max: np.ndarray
-    postings: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]
-    label: np.ndarray
-    ids: np.ndarray
-    idf: np.ndarray
+    def texts(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.rest)), np.diff(self.first))
 
     @staticmethod
-    def build(vectors: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, ids: np.ndarray, idf: np.ndarray) -> BlockMaxIndex:
-        """Examples whose heaviest words are alike come next to each other, which makes the bounds tight."""
-        unit = [_unit(t, c, idf) for t, c in vectors]
-        lead = [tuple(t[np.argsort(-w, kind="stable")[:3]].tolist()) for (t, _), w in zip(vectors, unit)]
-        order = sorted((i for i in range(len(unit)) if len(unit[i])), key=lambda i: (lead[i], zlib.crc32(str(ids[i]).encode()), ids[i]))
-        postings, block_max = [], np.zeros((-(-len(order) // BLOCK), len(idf)), dtype=np.float32)
-        for b in range(len(block_max)):
-            part = order[b * BLOCK : (b + 1) * BLOCK]
-            terms = np.concatenate([vectors[i][0] for i in part])
-            weights = np.concatenate([unit[i] for i in part])
-            places = np.repeat(np.arange(len(part)), [len(unit[i]) for i in part])
-            np.maximum.at(block_max[b], terms, weights)
-            postings.append((terms, places, weights, len(part)))
-        at = np.array(order, dtype=np.int64)
-        return BlockMaxIndex(block_max, postings, label[at], ids[at], idf)
-
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and numbers of the ``k`` nearest examples of each query, best first; -1: none."""
-        best, who = np.zeros((len(queries), k), dtype=np.float32), np.full((len(queries), k), -1, dtype=np.int64)
-        q = np.zeros((len(queries), len(self.idf)), dtype=np.float32)
-        for i, (t, c) in enumerate(queries):
-            q[i, t] = _unit(t, c, self.idf)
-        if not len(self.block_max) or not len(queries):
-            return best, who
-        bound = q @ self.block_max.T
-        first = bound.argmax(axis=1)
-        for own in (True, False):  # each query's most promising block first, then whatever its bound leaves
-            for b in range(len(self.block_max)):
-                open_ = (bound[:, b] > _EPS) & (bound[:, b] >= best[:, -1] - _EPS)
-                rows = np.flatnonzero((first == b) & open_ if own else (first != b) & open_)
-                if not len(rows):
-                    continue
-                terms, places, weights, size = self.postings[b]
-                dense = np.zeros((len(self.idf), size), dtype=np.float32)
-                dense[terms, places] = weights
-                score = q[rows] @ dense
-                # Later examples displace earlier ones only if they are nearer, so ties keep the order of blocks.
-                better = score.max(axis=1) > best[rows, -1] + _EPS / 10
-                rows, score = rows[better], np.where(score[better] > _EPS, score[better], 0)
-                number = np.where(score > 0, np.arange(b * BLOCK, b * BLOCK + size), -1)
-                score, number = np.concatenate([best[rows], score], axis=1), np.concatenate([who[rows], number], axis=1)
-                order = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                best[rows], who[rows] = np.take_along_axis(score, order, axis=1), np.take_along_axis(number, order, axis=1)
-        return best, who
+    def of(text: np.ndarray, term: np.ndarray, counts: np.ndarray, rest: np.ndarray) -> Vectors:
+        """From entries in order of text and term."""
+        return Vectors(np.searchsorted(text, np.arange(len(rest) + 1)), term, counts, rest)
 
+    @staticmethod
+    def joined(parts: list[Vectors]) -> Vectors:
+        ends = np.cumsum([0] + [len(p.terms) for p in parts])
+        return Vectors(np.concatenate([[0], *(p.first[1:] + e for p, e in zip(parts, ends))]).astype(np.int64), *(
+            np.concatenate([getattr(p, k) for p in parts] or [np.empty(0, dtype=t)]) for k, t in (("terms", np.int64), ("counts", np.int64), ("rest", float))))
 
-def _unit(terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    w = (1 + np.log(counts)) * idf[terms]
-    norm = np.sqrt((w * w).sum())
-    return w / norm if norm else w
 
+def _counted(text: np.ndarray, term: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, with how often each occurs; terms are below ``size``."""
+    key, times = np.unique(text * max(size, 1) + term, return_counts=True)
+    return *np.divmod(key, max(size, 1)), times
 
-@dataclass
-class WholeIndex:
-    """Examples as unit vectors of all their terms: rows of a matrix for the ``DENSE`` terms that the most examples
-    have (``place`` of a term, or -1), and postings by term (from ``first`` on) for the others."""
 
-    place: np.ndarray
-    matrix: np.ndarray
-    first: np.ndarray
+def _found(hashes: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each hash is in the ascending ``among``, and whether it is."""
+    if not len(among):
+        return np.zeros(len(hashes), dtype=np.int64), np.zeros(len(hashes), dtype=bool)
+    at = np.minimum(np.searchsorted(among, hashes), len(among) - 1)
+    return at, among[at] == hashes
+
+
+def views(texts: list[bytes], vocabulary: np.ndarray, telling: np.ndarray) -> Iterator[tuple[Vectors, Vectors]]:
+    """Both views of texts, chunk by chunk; terms are numbers of the ascending hashes of either."""
+    maybe = np.zeros(1 << 16, dtype=bool)
+    maybe[telling >> np.uint64(48)] = True
+    for a, b in _text.chunks(texts):
+        parts = _text.stems(texts[a:b])
+        words, number = next(parts)
+        distinct, which = np.unique(words, return_inverse=True)
+        text, term, times = _counted(number, which, len(distinct))
+        at, hit = _found(distinct, vocabulary)
+        known = hit[term]
+        rest = np.bincount(text[~known], weights=(1 + np.log(times[~known])) ** 2, minlength=b - a)
+        # Hashes ascend as the vocabulary does, so each text's terms do.
+        whole = Vectors.of(text[known], at[term[known]], times[known], rest)
+        told_text, told_term = [], []
+        for h, n in ((words, number), *parts):
+            some = np.flatnonzero(maybe[h >> np.uint64(48)])
+            at, hit = _found(h[some], telling)
+            told_text.append(n[some[hit]])
+            told_term.append(at[hit])
+        yield whole, Vectors.of(*_counted(np.concatenate(told_text), np.concatenate(told_term), len(telling)), np.zeros(b - a))
+
+
+def all_views(texts: list[bytes], vocabulary: np.ndarray, telling: np.ndarray) -> tuple[Vectors, Vectors]:
+    found = list(views(texts, vocabulary, telling))
+    return Vectors.joined([w for w, _ in found]), Vectors.joined([t for _, t in found])
+
+
+def _alike(rows: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
+    """``numbers`` of rows in blocks of BLOCK at most, halved along the direction in which the rows differ most."""
+    if len(numbers) <= BLOCK:
+        return [numbers] if len(numbers) else []
+    x = rows[numbers] - rows[numbers].mean(axis=0)
+    way = np.random.default_rng(1).standard_normal(x.shape[1]).astype(np.float32)
+    for _ in range(8):
+        way = x.T @ (x @ way)
+        way /= np.linalg.norm(way) + 1e-12
+    half = numbers[np.argsort(x @ way, kind="stable")]
+    return _alike(rows, half[: len(half) // 2]) + _alike(rows, half[len(half) // 2 :])
+
+
+@dataclass
+class BlockMaxIndex:
+    """Examples as unit vectors, by blocks of those alike."""
+
+    number: np.ndarray  # of the example at each place
+    begin: np.ndarray  # the first place of each block
+    place: np.ndarray  # of each term among those kept by block, or -1
+    blocks: list[np.ndarray]  # weights of those terms, by term and place
+    block_max: np.ndarray  # their largest in each block
+    first: np.ndarray  # postings of term t are at first[t] to first[t + 1]
     who: np.ndarray
     weight: np.ndarray
     idf: np.ndarray
     alone: float
 
     @staticmethod
-    def build(vectors: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray, alone: float, dense: int = DENSE) -> WholeIndex:
-        """``alone``: the inverse document frequency of a term that no example has."""
-        terms = np.concatenate([t for t, _ in vectors] or [np.empty(0, dtype=np.int64)])
-        weights = np.concatenate([_unit(t, c, idf) for t, c in vectors] or [np.empty(0)]).astype(np.float32)
-        who = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
-        having = np.bincount(terms, minlength=len(idf))
-        place = np.full(len(idf), -1, dtype=np.int32)
-        common = np.argsort(-having, kind="stable")[:dense]
+    def build(v: Vectors, idf: np.ndarray, alone: float = 0.0, dense: int | None = None) -> BlockMaxIndex:
+        """``alone``: the inverse document frequency of a term without a number."""
+        dense, text = DENSE if dense is None else dense, v.texts()
+        weight = BlockMaxIndex._weights(v, idf, alone)
+        place = np.full(len(idf), -1, dtype=np.int64)
+        common = np.argsort(-np.bincount(v.terms, minlength=len(idf)), kind="stable")[:dense]
         place[common] = np.arange(len(common))
-        matrix = np.zeros((len(common), len(vectors)), dtype=np.float32)
-        often = place[terms] >= 0
-        matrix[place[terms[often]], who[often]] = weights[often]
-        terms, weights, who = terms[~often], weights[~often], who[~often]
-        order = np.argsort(terms, kind="stable")
-        first = np.append(0, np.cumsum(np.bincount(terms, minlength=len(idf))))
-        return WholeIndex(place, matrix, first, who[order], weights[order], idf, alone)
-
-    def cosines(self, queries: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray) -> np.ndarray:
-        """Of each query, whose terms that no example has are in ``rest``, with each example."""
-        n, size = len(queries), self.matrix.shape[1]
-        terms = np.concatenate([t for t, _ in queries])
-        text = np.repeat(np.arange(n), [len(t) for t, _ in queries])
-        w = (1 + np.log(np.concatenate([c for _, c in queries]))) * self.idf[terms]
-        norm = np.sqrt(np.bincount(text, weights=w * w, minlength=n) + rest * self.alone**2)
-        w = w / norm[text]
-        often = self.place[terms] >= 0
-        q = np.zeros((n, len(self.matrix)), dtype=np.float32)
-        q[text[often], self.place[terms[often]]] = w[often]
-        out = (q @ self.matrix).ravel()
-        terms, text, w = terms[~often], text[~often], w[~often]
+        often = place[v.terms] >= 0
+        rows = np.zeros((len(v.rest), len(common)), dtype=np.float32)
+        rows[text[often], place[v.terms[often]]] = weight[often]
+        parts = _alike(rows, np.arange(len(v.rest)))
+        number = np.concatenate(parts) if parts else np.empty(0, dtype=np.int64)
+        at = np.empty(len(number), dtype=np.int64)
+        at[number] = np.arange(len(number))
+        order = np.flatnonzero(~often)[np.argsort(v.terms[~often], kind="stable")]
+        first = np.append(0, np.cumsum(np.bincount(v.terms[~often], minlength=len(idf))))
+        return BlockMaxIndex(number, np.cumsum([0, *(len(p) for p in parts)])[:-1], place, [np.ascontiguousarray(rows[p].T) for p in parts],
+                             np.array([rows[p].max(axis=0) for p in parts], dtype=np.float32).reshape(len(parts), len(common)),
+                             first, at[text[order]].astype(np.int32), weight[order].astype(np.float32), idf, alone)
+
+    @staticmethod
+    def _weights(v: Vectors, idf: np.ndarray, alone: float) -> np.ndarray:
+        w = (1 + np.log(v.counts)) * idf[v.terms]
+        norm = np.sqrt(np.bincount(v.texts(), weights=w * w, minlength=len(v.rest)) + v.rest * alone**2)
+        return w / np.maximum(norm[v.texts()], 1e-300)
+
+    def _start(self, v: Vectors) -> tuple[np.ndarray, np.ndarray]:
+        """Each query's sums over postings for every place, and its weights of the terms that blocks keep."""
+        n, size, text, w = len(v.rest), len(self.number), v.texts(), self._weights(v, self.idf, self.alone)
+        often = self.place[v.terms] >= 0
+        q = np.zeros((n, self.block_max.shape[1]), dtype=np.float32)
+        q[text[often], self.place[v.terms[often]]] = w[often]
+        out = np.zeros(n * size, dtype=np.float32)
+        terms, text, w = v.terms[~often], text[~often], w[~often]
         many = self.first[terms + 1] - self.first[terms]
         upto = np.cumsum(many)
         i = 0
@@ -184,27 +189,42 @@ class WholeIndex:
             cell = np.repeat(text[i:j] * size - low, m) + self.who[at]
             out[low:high] += np.bincount(cell, weights=self.weight[at] * np.repeat(w[i:j], m), minlength=high - low)
             i = j
-        return out.reshape(n, size)
-
-    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and numbers of the ``k`` nearest examples of each query, best first, the first of equals; -1: none."""
-        best, who = np.zeros((len(queries), k), dtype=np.float32), np.full((len(queries), k), -1, dtype=np.int64)
-        size = self.matrix.shape[1]
+        return out.reshape(n, size), q
+
+    def _add(self, score: np.ndarray, q: np.ndarray, wanted: np.ndarray) -> None:
+        """Complete the scores of the wanted (query, block)."""
+        for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+            rows, a = np.flatnonzero(wanted[:, b]), self.begin[b]
+            score[rows, a : a + self.blocks[b].shape[1]] += q[rows] @ self.blocks[b]
+
+    def nearest(self, v: Vectors, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and numbers of the ``k`` nearest examples of each query, best first, of equals the first; -1: none."""
+        n, size = len(v.rest), len(self.number)
+        best, who = np.zeros((n, k), dtype=np.float32), np.full((n, k), -1, dtype=np.int64)
         if not size:
             return best, who
-        for a in range(0, len(queries), ROWS):
-            cosine = self.cosines(queries[a : a + ROWS], rest[a : a + ROWS])
+        for a in range(0, n, ROWS):
+            score, q = self._start(v.part(a, min(a + ROWS, n)))
+            bound = np.maximum.reduceat(score, self.begin, axis=1) + q @ self.block_max.T
+            ahead = np.zeros(bound.shape, dtype=bool)
+            np.put_along_axis(ahead, np.argpartition(-bound, min(AHEAD, bound.shape[1]) - 1, axis=1)[:, :AHEAD], True, axis=1)
+            self._add(score, q, ahead)
+            # The k-th largest of the maxima of small groups is at most the k-th best.
+            group = np.maximum.reduceat(score, np.arange(0, size, GROUP), axis=1)
+            least = np.partition(group, -k, axis=1)[:, -k, None] if group.shape[1] >= k else np.zeros((len(score), 1))
+            # What stays below its k-th best needs no more than the sum it has.
+            self._add(score, q, (bound > np.maximum(least - _EPS, 0)) & ~ahead)
             # Equal but for rounding is equal, and then the number decides.
-            key = np.rint(cosine / _EPS).astype(np.int64) * size + np.arange(size - 1, -1, -1)
+            key = np.rint(score / _EPS).astype(np.int64) * size + (size - 1 - self.number)
             top = np.argpartition(-key, k, axis=1)[:, :k] if size > k else np.broadcast_to(np.arange(size), key.shape)
             top = np.take_along_axis(top, np.argsort(-np.take_along_axis(key, top, axis=1), axis=1), axis=1)
-            found = np.take_along_axis(cosine, top, axis=1)
+            found = np.take_along_axis(score, top, axis=1)
             some = found > _EPS
-            best[a : a + ROWS, : top.shape[1]], who[a : a + ROWS, : top.shape[1]] = np.where(some, found, 0), np.where(some, top, -1)
+            best[a : a + ROWS, : top.shape[1]], who[a : a + ROWS, : top.shape[1]] = np.where(some, found, 0), np.where(some, self.number[top], -1)
         return best, who
 
 
-def votes(cosine: np.ndarray, label: np.ndarray, valid: np.ndarray, least: float = 0.05) -> np.ndarray:
+def votes(cosine: np.ndarray, label: np.ndarray, valid: np.ndarray, least: float = TOLD) -> np.ndarray:
     """Votes for label 1, each weighted by its nearness, from distance ``least`` on; nan without a neighbour."""
     weight = np.where(valid, 1 / (least + np.maximum(0, 1 - cosine)), 0)
     total = weight.sum(axis=1)
@@ -224,38 +244,43 @@ def _design(whole: np.ndarray, telling: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    whole: WholeIndex
+    vocabulary: np.ndarray
+    told: np.ndarray  # hashes of the telling terms
+    whole: BlockMaxIndex
     telling: BlockMaxIndex
-    number: np.ndarray  # of each term among the telling ones, or -1
     label: np.ndarray
     ids: np.ndarray
     beta: np.ndarray
     alone: float
 
-    def told(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The telling terms of each query."""
-        return [(self.number[t][hit], c[hit]) for t, c in queries for hit in (self.number[t] >= 0,)]
-
-    def both_votes(self, queries: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Votes of whole texts and of telling terms, and the former's cosines and numbers; ``own``: ids that do not vote on their query."""
+    def votes(self, whole: Vectors, told: Vectors, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Votes of whole texts and of telling terms, and the former's cosines and numbers; ``own``: the queries' numbers, which do not vote on themselves."""
         k, out = NEIGHBOURS + (own is not None), []
-        for (cosine, who), label, ids, least in ((self.whole.nearest(queries, rest, k), self.label, self.ids, COPY),
-                                                 (self.telling.nearest(self.told(queries), k), self.telling.label, self.telling.ids, 0.05)):
-            valid = who >= 0
-            at = np.maximum(who, 0)
-            if own is not None and len(ids):
-                valid &= ids[at] != own[:, None]
-            out += [votes(cosine, np.where(valid, label[at] if len(label) else 0, 0), valid, least), cosine, who]
+        for index, v, least in ((self.whole, whole, COPY), (self.telling, told, TOLD)):
+            cosine, who = index.nearest(v, k)
+            valid = (who >= 0) & (who != own[:, None]) if own is not None else who >= 0
+            out += [votes(cosine, np.where(valid, self.label[who] if len(self.label) else 0, 0), valid, least), cosine, who]
         return out[0], out[3], out[1], out[2]
 
-    def score(self, queries: list[tuple[np.ndarray, np.ndarray]], rest: np.ndarray, evidence: int = 5) -> tuple[np.ndarray, list[list[dict]]]:
-        whole, telling, cosine, who = self.both_votes(queries, rest)
-        some = ~np.isnan(whole)
-        score = np.full(len(whole), self.alone)
-        score[some] = 1 / (1 + np.exp(-(_design(whole[some], telling[some]) @ self.beta)))
-        shown = [[{"id": int(self.ids[j]), "label": int(self.label[j]), "cosine": float(c)} for j, c in zip(w[:evidence], s[:evidence]) if j >= 0]
-                 for w, s in zip(who, cosine)]
-        return score, shown
+    def score(self, whole: Vectors, told: Vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores, and cosines and numbers of the nearest whole texts."""
+        voted, by_telling, cosine, who = self.votes(whole, told)
+        some = ~np.isnan(voted)
+        score = np.full(len(voted), self.alone)
+        score[some] = 1 / (1 + np.exp(-(_design(voted[some], by_telling[some]) @ self.beta)))
+        return score, cosine, who
+
+    @staticmethod
+    def fit(texts: list[bytes], label: np.ndarray, ids: np.ndarray, weight: np.ndarray, vocabulary: np.ndarray, told: np.ndarray,
+            having: np.ndarray, n_docs: int) -> Model:
+        """``having``: how many of all documents have each word of the vocabulary, then each telling term."""
+        whole, telling = all_views(texts, vocabulary, told)
+        idf, alone = np.log((1 + n_docs) / (1 + having)) + 1e-3, float(np.log((1 + n_docs) / 2) + 1e-3)
+        model = Model(vocabulary, told, BlockMaxIndex.build(whole, idf[: len(vocabulary)], alone), BlockMaxIndex.build(telling, idf[len(vocabulary) :]),
+                      label, ids, np.zeros(4), 0.0)
+        by_whole, by_telling, _, _ = model.votes(whole, telling, np.arange(len(texts)))
+        model.beta, model.alone = calibrate(by_whole, by_telling, label, weight)
+        return model
 
 
 def _fit(design: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -272,62 +297,77 @@ def _fit(design: np.ndarray, y: np.ndarray, w: np.ndarray, start: np.ndarray) ->
     return beta
 
 
-def _rate(none: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
-    """The rate of label 1 among examples without neighbours, drawn to that of all."""
-    prior = (weight * label).sum() / max(weight.sum(), 1e-12)
-    return float(((weight * label)[none].sum() + prior) / (weight[none].sum() + 1))
+def calibrate(whole: np.ndarray, telling: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Coefficients for the columns of both votes, those of votes not negative, and the score of a text without neighbours.
 
-
-def calibrate(vote: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float, float]:
-    """Slope and shift of a weighted logistic fit of label on the votes' logits, and the rate without neighbours."""
-    none = np.isnan(vote)
-    x = _logit(vote[~none])
-    beta = _fit(np.stack([x, np.ones_like(x)], axis=1), label[~none].astype(float), weight[~none], np.array([1.0, 0.0]))
-    return float(max(beta[0], 0.0)), float(beta[1]), _rate(none, label, weight)
-
-
-def calibrate_both(whole: np.ndarray, telling: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Coefficients for the columns of both votes, those of votes not negative, and the rate without telling terms."""
-    none = np.isnan(whole)
-    design, y, w = _design(whole[~none], telling[~none]), label[~none].astype(float), weight[~none]
+    That is the rate of label 1 among examples whose telling terms do not speak for it, drawn to that of all."""
+    some = ~np.isnan(whole)
+    design, y, w = _design(whole[some], telling[some]), label[some].astype(float), weight[some]
     use = np.ones(4, dtype=bool)
     while True:
         beta = np.zeros(4)
         beta[use] = _fit(design[:, use], y, w, np.array([0.0, 1.0, 1.0, 0.0])[use])
         if (beta[1:3] >= 0).all():
-            return beta, _rate(np.isnan(telling), label, weight)
+            break
         use[1:3] &= beta[1:3] >= 0
+    none, prior = ~(telling >= 0.5), (weight * label).sum() / max(weight.sum(), 1e-12)
+    return beta, float(((weight * label)[none].sum() + prior) / (weight[none].sum() + 1))
 
 
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, word) of each distinct word of each text."""
+def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(label, term, word) of each text's distinct words and beginnings of words; ``word``: whether it is the former."""
     for b in batches:
         texts, label = _text.as_bytes(b.column(1)), b.column(0).to_numpy(zero_copy_only=False)
         for i, j in _text.chunks(texts):
-            h, number = _text.stems(texts[i:j])
-            order = np.lexsort((h, number))
-            h, number = h[order], number[order]
+            parts = list(_text.stems(texts[i:j]))
+            h, number = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+            word = np.arange(len(h)) < len(parts[0][0])
+            order = np.lexsort((~word, h, number))
+            h, number, word = h[order], number[order], word[order]
             new = np.ones(len(h), dtype=bool)
             new[1:] = (h[1:] != h[:-1]) | (number[1:] != number[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(label[i:j][number[new]], pa.int32()), pa.array(h[new].view(np.int64))], ["label", "word"])
+            yield pa.RecordBatch.from_arrays([pa.array(label[i:j][number[new]], pa.int32()), pa.array(h[new].view(np.int64)), pa.array(word[new])], ["label", "term", "word"])
+
 
+def _frequencies(terms):
+    """(term, n): how many of a task's documents have each term, words first; and their number, as term -1."""
 
-def _vectors(vocabulary):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, telling = terms.value
+        n, docs = np.zeros(len(vocabulary) + len(telling), dtype=np.int64), 0
         for b in (part for whole in batches for part in _text.slices(whole)):
-            found = term_counts(_text.as_bytes(b.column(1)), vocabulary.value)
-            ends = np.cumsum([0] + [len(f[0]) for f in found])
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([f[k] for f in found] or [np.empty(0)]).astype(np.int32))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists, pa.array([f[2] for f in found], pa.float64()), *b.columns[2:]], ["id", "terms", "counts", "rest", *b.schema.names[2:]])
+            docs += b.num_rows
+            for whole, told in views(_text.as_bytes(b.column(0)), vocabulary, telling):
+                n += np.bincount(np.concatenate([whole.terms, told.terms + len(vocabulary)]), minlength=len(n))
+        some = np.flatnonzero(n)
+        for a in range(0, len(some), 1 << 16):
+            at = some[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], ["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([docs], pa.int64())], ["term", "n"])
 
-    return run
+    return _text.tidy(run)
 
 
-def _pairs(table) -> list[tuple[np.ndarray, np.ndarray]]:
-    terms, counts = (table.column(k).combine_chunks() if isinstance(table, pa.Table) else table.column(k) for k in ("terms", "counts"))
-    ends = np.append(0, np.cumsum(terms.value_lengths().to_numpy(zero_copy_only=False)))
-    t, c = terms.flatten().to_numpy(), counts.flatten().to_numpy()
-    return [(t[i:j].astype(np.int64), c[i:j]) for i, j in zip(ends[:-1], ends[1:])]
+def _scores(model):
+    evidence = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
+        for b in (part for whole in batches for part in _text.slices(whole)):
+            score, shown, ends = [], [], [0]
+            for whole, told in views(_text.as_bytes(b.column(1)), m.vocabulary, m.told):
+                value, cosine, who = m.score(whole, told)
+                cosine, who = cosine[:, :5], who[:, :5]
+                some = who >= 0
+                score.append(value)
+                shown.append((m.ids[who[some]], m.label[who[some]], cosine[some]))
+                ends += (ends[-1] + np.cumsum(some.sum(axis=1))).tolist()
+            ids, label, cosine = (np.concatenate([s[k] for s in shown] or [np.empty(0)]) for k in range(3))
+            struct = pa.StructArray.from_arrays([pa.array(ids.astype(np.int64)), pa.array(label.astype(np.int32)), pa.array(cosine.astype(float))], fields=list(evidence.value_type))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(score or [np.empty(0)])), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), struct), *b.columns[2:]],
+                                             ["id", "score", "evidence", *b.schema.names[2:]])
+
+    return _text.tidy(run)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, id_col: str = "doc_id", text_col: str = "text",
@@ -337,11 +377,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     ``labels`` (id, label 0 or 1) are those to learn from; at most ``examples`` of each label are used, which
     bounds the index that is sent to executors. Ids must be integers. Rows of ``labels`` with a null are left out
     and an id with several labels has its largest. Of several rows of an id that of the smallest hash of its text is the
-    example. A null text counts as empty; a text that shares no term with
-    any example has no neighbours, no evidence, and the rate of examples without telling terms as its score. ``evidence`` is the nearest
-    whole texts. Without labels every
-    score is 0. Repeated rows and null ids are rows like others. An empty table gives an empty result. Other
-    columns are not read.
+    example. A null text counts as empty; a text that shares no word with
+    any example has no neighbours, no evidence, and as its score the rate of label 1 among examples whose telling terms do not speak for it. ``evidence`` is the
+    nearest whole texts. Of neighbours at one cosine those of smaller ids vote. Without labels every
+    score is 0. Repeated rows and null ids are rows like others. A very long text is scored as a whole; a worker's memory
+    is some 60 times its bytes. An empty table gives an empty result. Other columns are not read.
     """
     spark = docs.sparkSession
     store = Store(spark)
@@ -360,44 +400,21 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES,
     a, n1, n0 = F.col("ones"), taken.get(1, 0), taken.get(0, 0)
     b, n = F.col("all") - F.col("ones"), n1 + n0
     chi2 = n * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (F.lit(float(max(n1, 1) * max(n0, 1))) * F.col("all") * (n - F.col("all")))
-    tells = ((F.col("all") >= max(LEAST_EXAMPLES, LEAST_SHARE * min(n1, n0))) & (F.col("all") < n)
-             & ((a + 0.5) * max(n0, 1) >= LEAST_LIFT * (b + 0.5) * max(n1, 1)) & (chi2 >= LEAST_CHI2))
+    tells = (F.col("all") >= max(LEAST_EXAMPLES, LEAST_SHARE * min(n1, n0))) & (F.col("all") < n) & (chi2 >= LEAST_CHI2)
     # As many rows as the examples have terms, numbers only.
-    words = (texts.select("label", "text").mapInArrow(_words_of, "label int, word long").groupBy("word").agg(F.count("*").alias("all"), F.sum("label").alias("ones"))
-             .select("word", F.when(tells, chi2).alias("chi2")).toArrow())
-    vocabulary = words.column("word").to_numpy().view(np.uint64)
-    order = np.argsort(vocabulary)
-    vocabulary, told = vocabulary[order], np.nan_to_num(words.column("chi2").to_numpy().astype(float)[order])
-    best = np.lexsort((vocabulary.view(np.int64), -told))[:VOCABULARY]
-    telling = np.sort(best[told[best] > 0])
-    number = np.full(len(vocabulary), -1, dtype=np.int64)
-    number[telling] = np.arange(len(telling))
-    sent = spark.sparkContext.broadcast(vocabulary)
-    vectors = store.put(rows.mapInArrow(_vectors(sent), f"id long, terms array<int>, counts array<int>, rest double{more}"))
-    n_docs = vectors.count()
-    having = np.zeros(len(vocabulary))
-    found = vectors.select(F.explode("terms").alias("term")).groupBy("term").count().toArrow()  # at most a row for each term
-    having[found.column("term").to_numpy()] = found.column("count").to_numpy()
-    idf = np.log((1 + n_docs) / (1 + having)) + 1e-3
-    table = texts.mapInArrow(_vectors(sent), "id long, terms array<int>, counts array<int>, rest double, label int").toArrow().combine_chunks().sort_by([("id", "ascending"), ("label", "ascending")])
+    counted = store.put(texts.select("label", "text").mapInArrow(_text.tidy(_terms_of), "label int, term long, word boolean").groupBy("term").agg(
+        F.count("*").alias("all"), F.sum("label").alias("ones"), F.max("word").alias("word")))
+    vocabulary = np.sort(counted.filter("word").select("term").toArrow().column(0).to_numpy().view(np.uint64))
+    told = counted.filter(tells).orderBy(chi2.desc(), "term").limit(VOCABULARY).select("term").toArrow().column(0)
+    told = np.sort(told.to_numpy().view(np.uint64))
+    sent = spark.sparkContext.broadcast((vocabulary, told))
+    found = rows.select("text").mapInArrow(_frequencies(sent), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, count = found.column(0).to_numpy(), found.column(1).to_numpy()
+    having = np.zeros(len(vocabulary) + len(told))
+    having[term[term >= 0]] = count[term >= 0]
+    table = texts.toArrow().sort_by("id")  # the examples, at most 2 * examples texts
     label, ids = table.column("label").to_numpy().astype(np.int64), table.column("id").to_numpy().astype(np.int64)
-    pairs = _pairs(table)
-    model = Model(WholeIndex.build(pairs, idf, float(np.log((1 + n_docs) / 2) + 1e-3)), None, number, label, ids, np.zeros(4), 0.0)
-    model.telling = BlockMaxIndex.build(model.told(pairs), label, ids, idf[telling])
-    # Leave-one-out votes: an example is not its own neighbour, nor is another row of its id.
-    both = [model.both_votes(pairs[i : i + BATCH], np.zeros(len(pairs[i : i + BATCH])), ids[i : i + BATCH])[:2] for i in range(0, len(pairs), BATCH)]
-    whole, told = (np.concatenate(x) for x in zip(*both)) if both else (np.empty(0), np.empty(0))
     weight = np.where(label == 1, total.get(1, 0) / max((label == 1).sum(), 1), total.get(0, 0) / max((label == 0).sum(), 1)).astype(float)
-    model.beta, model.alone = calibrate_both(whole, told, label, weight / max(weight.max(initial=0), 1e-12))
-    out = spark.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                score, shown = out.value.score(_pairs(part), part.column("rest").to_numpy())
-                kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64()), pa.array(shown, kind), *part.columns[4:]], ["id", "score", "evidence", *part.schema.names[4:]])
-
-    return (vectors.mapInArrow(run, f"id long, score double, evidence array<struct<id:long,label:int,cosine:double>>{more}")
-            .select(F.col("id").alias(id_col), "score", "evidence", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry))))
+    model = Model.fit(_text.as_bytes(table.column("text")), label, ids, weight / max(weight.max(initial=0), 1e-12), vocabulary, told, having, int(count[term < 0].sum()))
+    out = rows.mapInArrow(_scores(spark.sparkContext.broadcast(model)), f"id long, score double, evidence array<struct<id:long,label:int,cosine:double>>{more}")
+    return out.select(F.col("id").alias(id_col), "score", "evidence", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))

@@ -1,34 +1,49 @@
 """Nearest examples against all cosines, and end to end."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sparkquiver.llm.toxicity import BlockMaxIndex, WholeIndex, _unit, calibrate, score_toxicity, votes
+from sparkquiver.llm import _text
+from sparkquiver.llm.toxicity import BlockMaxIndex, Vectors, all_views, calibrate, score_toxicity, votes
 
 
-def test_block_max_is_exact():
-    rng = np.random.default_rng(0)
+def vectors(rng, count, terms, most):
+    """Random texts as entries, and as rows of weights without idf."""
+    size = rng.integers(0, most, count)
+    term = np.concatenate([np.sort(rng.choice(terms, n, replace=False)) for n in size])
+    return Vectors.of(np.repeat(np.arange(count), size), term, rng.integers(1, 5, len(term)), rng.uniform(0, 9, count))
 
-    def vector():
-        t = np.sort(rng.choice(80, int(rng.integers(0, 9)), replace=False))
-        return t, rng.integers(1, 5, len(t))
 
-    vectors, queries, idf = [vector() for _ in range(500)], [vector() for _ in range(120)], rng.uniform(0.5, 6, 80)
-    index = BlockMaxIndex.build(vectors, rng.integers(0, 2, 500), np.arange(500), idf)
+def unit_rows(v, idf, alone):
+    out = np.zeros((len(v.rest), len(idf)))
+    out[v.texts(), v.terms] = (1 + np.log(v.counts)) * idf[v.terms]
+    return out / np.maximum(np.sqrt((out * out).sum(axis=1) + v.rest * alone**2), 1e-12)[:, None]
 
-    def dense(v):
-        out = np.zeros((len(v), 80))
-        for i, (t, c) in enumerate(v):
-            out[i, t] = _unit(t, c, idf)
-        return out
 
-    all_ = dense(queries) @ dense(vectors).T
-    cosine, who = index.nearest(queries, 10)
-    want = -np.sort(-all_, axis=1)[:, :10]
-    assert np.allclose(cosine, np.where(want > 1e-5, want, 0), atol=1e-5)
-    for i in range(120):
-        for c, j in zip(cosine[i], who[i]):
-            assert j < 0 or abs(all_[i, index.ids[j]] - c) < 1e-5
+@pytest.mark.parametrize(("dense", "most"), [(80, 9), (20, 40), (0, 30)])
+def test_block_max_index_is_exact(dense, most):
+    rng = np.random.default_rng(dense)
+    examples, queries, idf = vectors(rng, 700, 300, most), vectors(rng, 200, 300, most), rng.uniform(0.5, 6, 300)
+    index = BlockMaxIndex.build(examples, idf, 7.0, dense)
+    all_ = unit_rows(queries, idf, 7.0) @ unit_rows(examples, idf, 7.0).T
+    for k in (7, 750):
+        cosine, who = index.nearest(queries, k)
+        want = -np.sort(-all_, axis=1)[:, :k]
+        assert np.allclose(cosine[:, :700], np.where(want > 1e-5, want, 0), atol=2e-5)
+        assert all(j < 0 or abs(all_[i, j] - c) < 1e-5 for i in range(200) for c, j in zip(cosine[i], who[i]))
+
+
+def test_blocks_are_passed_over():
+    """Examples of two kinds: a query of one leaves most blocks of the other alone, and still finds its nearest."""
+    rng = np.random.default_rng(5)
+    one, two = vectors(rng, 1000, 100, 20), vectors(rng, 1000, 100, 20)
+    both = Vectors.joined([one, Vectors(two.first, two.terms + 100, two.counts, two.rest)])
+    index, done = BlockMaxIndex.build(both, np.ones(200), 1.0, 200), []
+    add = index._add
+    index._add = lambda score, q, wanted: (done.append(wanted.sum()), add(score, q, wanted))
+    _, who = index.nearest(one.part(0, 100), 5)
+    assert (who < 1000).all() and sum(done) < 0.6 * 100 * len(index.blocks)
 
 
 def test_votes_and_calibration():
@@ -37,8 +52,9 @@ def test_votes_and_calibration():
     rng = np.random.default_rng(1)
     vote = rng.uniform(0, 1, 4000)
     label = (rng.uniform(0, 1, 4000) < vote).astype(int)
-    slope, shift, alone = calibrate(np.append(vote, np.nan), np.append(label, 0), np.ones(4001))
-    p = 1 / (1 + np.exp(-(slope * np.log(vote / (1 - vote)) + shift)))
+    none = np.full(4001, np.nan)
+    beta, alone = calibrate(np.append(vote, np.nan), none, np.append(label, 0), np.ones(4001))
+    p = 1 / (1 + np.exp(-(beta[1] * np.log(vote / (1 - vote)) + beta[0])))
     assert abs(p[vote > 0.8].mean() - label[vote > 0.8].mean()) < 0.05 and alone < 0.5
 
 
@@ -63,29 +79,20 @@ def test_nothing_to_learn_from(spark):
     assert score_toxicity(docs.filter("doc_id > 5"), none).count() == 0
 
 
-def test_whole_texts_are_exact():
-    rng = np.random.default_rng(2)
-
-    def vector():
-        t = np.sort(rng.choice(300, int(rng.integers(0, 40)), replace=False))
-        return t, rng.integers(1, 5, len(t))
-
-    vectors, queries, rest, idf = [vector() for _ in range(90)], [vector() for _ in range(200)], rng.uniform(0, 9, 200), rng.uniform(0.5, 6, 300)
-    index = WholeIndex.build(vectors, idf, 7.0, dense=20)
-
-    def dense(vs, more):
-        out = np.zeros((len(vs), 300))
-        for i, (t, c) in enumerate(vs):
-            out[i, t] = (1 + np.log(c)) * idf[t]
-        return out / np.maximum(np.sqrt((out * out).sum(axis=1) + more * 49), 1e-12)[:, None]
-
-    all_ = dense(queries, rest) @ dense(vectors, np.zeros(90)).T
-    assert np.allclose(index.cosines(queries, rest), all_, atol=1e-5)
-    for k in (7, 95):
-        cosine, who = index.nearest(queries, rest, k)
-        want = -np.sort(-all_, axis=1)[:, :k]
-        assert np.allclose(cosine[:, :90], np.where(want > 1e-5, want, 0), atol=2e-5)
-        assert all(j < 0 or abs(all_[i, j] - c) < 1e-5 for i in range(200) for c, j in zip(cosine[i], who[i]))
+def test_views_of_whole_texts():
+    """Both views against a plain count of words and of beginnings of words."""
+    texts = [b"", b"One two, ONE two three-four", "Verl\u00e4sslich w\u00f6rter w\u00f6rter".encode(), b"unknown " * 300000 + b"one", b"\n \t"]
+    hash_of = lambda t: next(_text.stems([t]))[0][0]
+    begin = next(p for p in list(_text.stems([b"unknown"]))[1:] if len(p[0]))[0][0]
+    vocabulary = np.sort(np.array([hash_of(w) for w in (b"one", b"two", "w\u00f6rter".encode())], dtype=np.uint64))
+    told = np.sort(np.array([begin, hash_of(b"two")], dtype=np.uint64))
+    whole, telling = all_views(texts, vocabulary, told)
+    at = {w: int(np.searchsorted(vocabulary, hash_of(w))) for w in (b"one", b"two", "w\u00f6rter".encode())}
+    got = [dict(zip(p.terms.tolist(), p.counts.tolist())) for p in (whole.part(i, i + 1) for i in range(5))]
+    assert got == [{}, {at[b"one"]: 2, at[b"two"]: 2}, {at["w\u00f6rter".encode()]: 2}, {at[b"one"]: 1}, {}]
+    assert np.allclose(whole.rest, [0, 2, 1, (1 + np.log(300000)) ** 2, 0])
+    k = int(np.searchsorted(told, begin))
+    assert [dict(zip(p.terms.tolist(), p.counts.tolist())) for p in (telling.part(i, i + 1) for i in range(5))] == [{}, {1 - k: 2}, {}, {k: 300000}, {}]
 
 
 def test_copy_without_telling_terms(spark):
