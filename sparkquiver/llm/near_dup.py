@@ -8,9 +8,11 @@ the two prefixes share min(l, l') shingles.
 The order takes a third of the shingles, chosen by hash, before the others and rare ones before frequent ones, so
 the frequencies of that third suffice for all but small documents. Equal sets are one node from the start.
 Documents whose prefix cannot hold enough shared shingles have no link. The others are grouped into clusters that
-shared prefix shingles connect, and each cluster is cut into blocks of bounded size; a task has the sets of two
-blocks and counts shared shingles of all its pairs by products of incidence matrices. Only links that change
-components leave it, so no pairs are emitted.
+shared prefix shingles connect. A small cluster is one block. In a larger one documents that have their most shared
+prefix shingle in common are cut into blocks of bounded size, and each prefix shingle tells, as bits, in which blocks
+it occurs: a document meets only blocks in which one of its prefix shingles does. A task has the documents of two
+blocks that meet the other one, and counts shared shingles of its pairs by products of incidence matrices. Only links
+that change components leave it, so no pairs are emitted.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkquiver.llm import _text
@@ -36,8 +38,9 @@ FIRST_OF = 3
 MOST_MATCHES = 8
 #: What verifying one candidate costs, for each of its shingles, against reading one posting.
 VERIFY_COST = 0.05
-#: Documents and shingles in a block, on average.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 1_000_000
+#: Documents and shingles in a block, on average, and the most blocks of one size class of a cluster.
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
+CLASS_BLOCKS = 1 << 40
 #: So many rows at most are broadcast to pick documents for verification; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 
@@ -67,7 +70,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, id, k1, k2, n, first, digest, tokens) of each document. Of equal sets in a partition one has tokens."""
     row, seen = TaskContext.get().partitionId() << 33, set()
-    for b in batches:
+    for b in (part for whole in batches for part in _text.slices(whole)):
         out: list[tuple] = []
         tokens: list[np.ndarray] = []
         for _, sets in _text.document_shingles(_text.as_bytes(b.column(3))):
@@ -152,7 +155,7 @@ def _shared_counts(of: list[np.ndarray], left: int) -> np.ndarray:
         return total
     order = np.argsort(value, kind="stable")
     owner, value = owner[order], value[order]
-    step = 4096
+    step = 1024
     for v in range(0, int(value[-1]) + 1, step):
         a, z = np.searchsorted(value, (v, v + step))
         dense = np.zeros((len(of), step), dtype=np.float32)
@@ -200,6 +203,14 @@ def link_block(n: np.ndarray, matches: np.ndarray, weight: np.ndarray, prefixes:
 
 def _links(key, table):
     """(node, root, degree) of a task's documents that have links."""
+    try:
+        return _linked(key, table)
+    finally:
+        if table.num_rows > BLOCK_DOCS:  # as in the last place of ``_text.tidy``, but not for each of many small clusters
+            _text.release()
+
+
+def _linked(key, table):
     table = table.combine_chunks().sort_by("row")
     row = table.column("row").to_numpy()
     first = np.ones(len(row), dtype=bool)
@@ -227,6 +238,47 @@ def _links(key, table):
     return pa.table([pa.array(row[node]), pa.array(row[root]), pa.array(degree[node])], schema=schema)
 
 
+def _bit(block):
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(block, F.lit(64)).cast("int"))
+
+
+def block_tasks(alive: DataFrame, store: Store) -> DataFrame:
+    """(row, cluster, block, b1, b2): the documents of each task, from ``alive`` (row, cluster, n, prefix, home).
+
+    A document is in the tasks of its own block and of those in which one of its prefix shingles occurs, of its size class
+    or the next ones, as sets of very different sizes cannot link. Clusters of one document have no task.
+    """
+    whole = store.put(alive.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")).filter("docs > 1"))
+    small = (F.col("docs") <= BLOCK_DOCS) & (F.col("shingles") <= 2 * BLOCK_SHINGLES)
+    zero = F.lit(0).cast("long")
+    single = alive.join(whole.filter(small), "cluster").select("row", "cluster", zero.alias("block"), zero.alias("b1"), zero.alias("b2"))
+    large = whole.filter(~small).select("cluster")
+    if large.isEmpty():
+        return single
+    octave = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")
+    big = store.put(alive.join(large, "cluster").select("row", "cluster", octave.alias("octave"), "home", "n", "prefix"))
+    # Documents of one home fill blocks of their own, spread by their numbers, or share blocks with those of other homes.
+    share = F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)
+    homes = store.put(big.groupBy("cluster", "octave", "home").agg(share.alias("share")))
+    light = homes.filter("share < 0.5").groupBy("cluster", "octave").agg(F.ceil(F.sum("share")).alias("light"))
+    heavy = homes.filter("share >= 0.5").select("cluster", "octave", "home", F.ceil("share").alias("parts"))
+    before = Window.partitionBy("cluster", "octave").orderBy("home").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as blocks at most
+    heavy = heavy.withColumn("before", F.coalesce(F.sum("parts").over(before), zero)).join(light, ["cluster", "octave"], "left").select(
+        "cluster", "octave", "home", F.lit(True).alias("spread"), (F.coalesce("light", zero) + F.col("before")).alias("base"), "parts")
+    light = homes.filter("share < 0.5").join(light, ["cluster", "octave"]).select(
+        "cluster", "octave", "home", F.lit(False).alias("spread"), zero.alias("base"), F.col("light").alias("parts"))
+    own = F.col("base") + F.pmod(F.xxhash64(F.when(F.col("spread"), F.col("row")).otherwise(F.col("home"))), F.col("parts"))
+    placed = store.put(big.join(heavy.unionByName(light), ["cluster", "octave", "home"]).select("row", "cluster", "octave", own.alias("block"), "prefix"))
+    held = placed.select("row", "cluster", "octave", "block", F.explode("prefix").alias("token"))
+    masks = held.groupBy("token", F.col("octave").alias("there"), F.floor(F.col("block") / 64).alias("chunk")).agg(F.bit_or(_bit(F.col("block"))).alias("mask"))
+    met = held.join(store.put(masks), "token").filter(F.abs(F.col("octave") - F.col("there")) <= 1).groupBy(
+        "row", "cluster", "octave", "block", "there", "chunk").agg(F.bit_or("mask").alias("mask"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("mask").bitwiseAND(_bit(k)) != 0)
+    met = met.select("row", "cluster", (F.col("octave") * F.lit(CLASS_BLOCKS) + F.col("block")).alias("block"),
+                     F.explode(F.transform(bits, lambda k: F.col("there") * F.lit(CLASS_BLOCKS) + F.col("chunk") * 64 + k)).alias("other"))
+    return single.unionByName(met.select("row", "cluster", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: (id, n_shingles, component_id, n_links, first, KEY).
 
@@ -235,7 +287,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Jaccard similarity is 0.75 or more; all links are found. ``component_id`` is the smallest id that links reach,
     ``n_links`` counts the other rows that a row links with. A row with a null or empty text links with nothing and
     has its own id as component. Repeated rows link with each other. Null ids never become a component's id unless
-    it has no other. ``first``: the row, or one of rows alike
+    it has no other. A very long text is read whole; a worker's memory is some 60 times its bytes. ``first``: the row, or one of rows alike
     in id and text, that has the component's id; each row without words is. KEY: the row's content as a key. An
     empty table gives an empty result. Other columns are not read. Ids are compared as integers.
     """
@@ -246,49 +298,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     k1, k2 = halves(F.col("id"), F.col("text"))
     rows = rows.select("id", k1.alias("k1"), k2.alias("k2"), "text")
-    sets = store.put(rows.mapInArrow(_sets, "row long, id long, k1 long, k2 long, n long, first long, all boolean, d1 long, d2 long, tokens array<long>"))
+    sets = store.put(rows.mapInArrow(_text.tidy(_sets), "row long, id long, k1 long, k2 long, n long, first long, all boolean, d1 long, d2 long, tokens array<long>"))
     classes = store.put(sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("row").alias("row"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("least"), F.count("*").alias("weight")))
 
     postings = sets.select("row", F.explode("tokens").alias("token"))
     frequent = store.put(postings.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1"))
     shared = postings.join(frequent, "token").groupBy("row").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
     heads = sets.select("row", "n", "first", "all", "k1", "k2").join(classes.select("row", "weight"), "row")
-    prefixes = store.put(heads.select("row", "n", "first", "all").join(shared, "row").mapInArrow(_prefixes, "row long, matches int, prefix array<long>"))
+    prefixes = store.put(heads.select("row", "n", "first", "all").join(shared, "row").mapInArrow(_text.tidy(_prefixes), "row long, matches int, prefix array<long>"))
     store.drop(frequent)
 
     # What is in one document's prefix alone cannot match.
     tokens = prefixes.select("row", F.explode("prefix").alias("token"))
-    centers = store.put(tokens.groupBy("token").agg(F.min("row").alias("center"), F.count("*").alias("n")).filter("n > 1").select("token", "center"))
-    matched = tokens.join(centers, "token").groupBy("row").agg(F.collect_list("token").alias("prefix"), F.collect_set("center").alias("centers"))
+    centers = store.put(tokens.groupBy("token").agg(F.min("row").alias("center"), F.count("*").alias("n")).filter("n > 1"))
+    matched = tokens.join(centers.withColumnRenamed("n", "having"), "token").groupBy("row").agg(
+        F.collect_list("token").alias("prefix"), F.collect_set("center").alias("centers"), F.max(F.struct("having", "token"))["token"].alias("home"))
     alive = store.put(prefixes.select("row", "matches").join(matched, "row").filter(F.size("prefix") >= F.col("matches")).join(heads.drop("first", "all"), "row"))
+    store.drop(prefixes, centers)
     edges = alive.select("row", F.explode("centers").alias("center"))
     cluster = components(edges, store)
-    alive = store.put(alive.drop("centers").join(cluster.withColumnRenamed("node", "row"), "row", "left").select(
-        "row", "n", "weight", "matches", "prefix", "k1", "k2", F.coalesce("root", "row").alias("cluster")))
+    connected, alive = alive, store.put(alive.drop("centers").join(cluster.withColumnRenamed("node", "row"), "row", "left").select(
+        "row", "n", "weight", "matches", "prefix", "home", "k1", "k2", F.coalesce("root", "row").alias("cluster")))
+    store.drop(connected)
+    tasks = store.put(block_tasks(alive, store))
 
-    # Blocks: small clusters are one block; others are cut by size, as sets of very different sizes cannot link.
-    whole = store.put(alive.groupBy("cluster").agg(F.count("*").alias("docs"), F.sum("n").alias("shingles")))
-    small = (F.col("docs") <= BLOCK_DOCS) & (F.col("shingles") <= 2 * BLOCK_SHINGLES)
-    octave = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(DENOMINATOR / NUMERATOR))).cast("int")
-    placed = alive.join(whole, "cluster").filter("docs > 1").withColumn("octave", F.when(small, -5).otherwise(octave)).select("row", "cluster", "octave", "n")
-    placed = store.put(placed)
-    parts = store.put(placed.groupBy("cluster", "octave").agg(
-        F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts")).withColumn(
-        "parts", F.when(F.col("octave") == -5, 1).otherwise(F.col("parts"))))
-    own = placed.join(parts, ["cluster", "octave"]).withColumn("block", F.col("octave") * F.lit(1 << 20) + F.pmod(F.xxhash64("row"), F.col("parts")))
-    near = parts.select("cluster", F.explode(F.array(F.col("octave") - 1, F.col("octave"), F.col("octave") + 1)).alias("octave"),
-                        F.col("octave").alias("other"), F.col("parts").alias("other_parts"))
-    tasks = own.drop("parts").join(near, ["cluster", "octave"]).select("row", "cluster", "block", F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("other_parts") - 1), lambda k: F.col("other") * F.lit(1 << 20) + k)).alias("other"))
-    tasks = tasks.select("row", "cluster", "block", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
-
-    picked = alive.join(placed.select("row"), "row", "left_semi")
+    picked = alive.join(tasks.select("row").distinct(), "row", "left_semi")
     keys = picked.select("k1", "k2", "row")
     found = rows.select("k1", "k2", "text").join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, ["k1", "k2"])
-    full = store.put(found.select("row", "text").mapInArrow(_full_sets, "row long, tokens array<long>"))
+    full = store.put(found.select("row", "text").mapInArrow(_text.tidy(_full_sets), "row long, tokens array<long>"))
     work = tasks.join(alive.select("row", "n", "weight", "matches", "prefix"), "row").join(full, "row")
     linked = store.put(work.groupBy("cluster", "b1", "b2").applyInArrow(_links, "node long, root long, degree long"))
 
+    store.drop(full, tasks, alive)
     joined = components(linked.select("node", "root"), store)
     degree = linked.groupBy("node").agg(F.sum("degree").alias("degree")).withColumnRenamed("node", "row")
     labels = store.put(classes.join(joined.withColumnRenamed("node", "row"), "row", "left").join(degree, "row", "left").select(

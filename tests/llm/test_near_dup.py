@@ -103,3 +103,33 @@ def test_components(spark):
     df = spark.createDataFrame([(int(a), int(b)) for a, b in edges], "x long, y long").repartition(5)
     assert {tuple(r) for r in components(df, Store(spark)).collect()} == want
     assert components(df.filter("x < 0"), Store(spark)).count() == 0
+
+
+def test_a_giant_cluster_is_not_all_pairs(spark, monkeypatch):
+    """A chain of documents and a hot shingle: who shares a shingle meets in a task, and few others do."""
+    monkeypatch.setattr(module, "BLOCK_DOCS", 16)
+    chain = [(i, 0, 100 if i % 2 else 120, [i, i + 1], i) for i in range(3000)]
+    hot = [(5000 + i, 0, 100, [i % 50, 7777], 7777) for i in range(200)]
+    alive = spark.createDataFrame(chain + hot + [(9000, 1, 5, [1, 2], 1)], "row long, cluster long, n long, prefix array<long>, home long")
+    tasks = [tuple(r) for r in module.block_tasks(alive, Store(spark)).collect()]
+    meets, own = {}, {}
+    for row, _, block, b1, b2 in tasks:
+        assert own.setdefault(row, block) == block in (b1, b2)
+        meets.setdefault(row, set()).add((b1, b2))
+    prefix = {r[0]: set(r[3]) for r in chain + hot}
+    holders = {}
+    for row, p in prefix.items():
+        for t in p:
+            holders.setdefault(t, []).append(row)
+    for rows in holders.values():
+        for i in rows:
+            assert all((min(own[i], own[j]), max(own[i], own[j])) in meets[i] for j in rows)
+    assert 9000 not in own and len(tasks) < 6 * len(prefix) and len({(b1, b2) for _, _, _, b1, b2 in tasks}) < 4000  # of some 20,000 pairs of blocks
+
+
+def test_very_long_and_clashing(spark):
+    rng = random.Random(9)
+    long = " ".join(f"v{rng.randrange(10**6)}" for _ in range(120_000))
+    docs = spark.createDataFrame([(1, long, 3, "x"), (2, long + " more words at the end", 3, "x"), (3, "short text", 3, "x")], "doc_id long, text string, n long, token string")
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in near_duplicates(docs).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (3, 0)}
