@@ -1,15 +1,16 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 A benchmark item's class is the largest window length of a geometric grid that is not longer than the item. Every
-window of every class's length in every document gets a 64-bit SimHash of its words, from packed running sums. A
-multi-index of four 16-bit blocks finds each fingerprint of an item within ``RADIUS`` bits: of 11 differing bits
-some block has at most 2, and each block's table lists all values within 2 bits.
-
-Fingerprints alone miss texts shorter than an item's class and long items altered at both ends, so an item's
-rarest shingles, of a little more than a quarter of its weight, are looked up as well: a window similar enough
-shares one of them. All windows around one are verified by the exact weighted Jaccard similarity of word shingles
-with the item; they have the item's own length, or are the whole text if that is shorter. Items of fewer than five
-words are one shingle, and equal windows have equal fingerprints.
+window of every class's length in every document gets a 64-bit SimHash of its words, from packed running sums whose
+counters are as wide as the length needs. A multi-index of four 16-bit blocks finds each fingerprint of an item
+within ``RADIUS`` bits: of 11 differing bits some block has at most 2, and each block's table lists all values within
+2 bits. The windows around each hit are verified by the exact weighted Jaccard similarity of word shingles with the
+item; they have the item's own length, or are the whole text if that is shorter.
+
+A similar window's fingerprint may be farther away, and a text shorter than the class has no window of its length. So
+that no window is missed, an item's rarest shingles, of a little more than a quarter of its weight, are looked up as
+well: a window similar enough shares one of them, and the windows around it are verified too. Items of fewer than
+five words are one shingle, and equal windows have equal fingerprints.
 """
 
 from __future__ import annotations
@@ -29,15 +30,10 @@ SIMILARITY = 0.75
 RADIUS = 11
 BLOCKS, BLOCK_BITS = 4, 16
 GRID = 1.25
-#: Windows up to this length; longer items are covered by windows of it from both ends.
-LONGEST = 200
 #: Items whose index is sent to executors at a time; more are done in blocks, each against all documents, with the
 #: weights of shingles that several of all items have.
 ITEMS = 20_000
 
-_LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
-_TOPS = np.uint64(0x8080808080808080)
-_GATHER = np.uint64(0x0102040810204080)
 _NEAR = np.array([sum(1 << i for i in c) for n in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), n)], dtype=np.int64)
 
 
@@ -46,36 +42,51 @@ def grid_length(words: int) -> int:
     length, step = 1, 1.0
     while True:
         step *= GRID
-        if int(step) > min(words, LONGEST):
+        if int(step) > words:
             return length
         length = int(step)
 
 
-def lane_sums(hashes: np.ndarray) -> np.ndarray:
-    """Running sums of the bits of word hashes, eight 8-bit counters to a row's number; differences over up to 255 words are exact."""
+def lane_bits(length: int) -> int:
+    """How wide counters of so many words are: one bit more than they need, for the comparison with half of them."""
+    return 8 if length < 1 << 8 else 16 if length < 1 << 15 else 32
+
+
+def _ones(bits: int) -> int:
+    return sum(1 << i for i in range(0, 64, bits))
+
+
+def lane_sums(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Running sums of the bits of word hashes, 64 / ``bits`` counters to a row's number; differences over as many words as a counter holds are exact."""
+    per = 64 // bits
+    spread = np.array([sum(((v >> i) & 1) << (bits * i) for i in range(per)) for v in range(1 << per)], dtype=np.uint64)
     octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
-    out = np.zeros((8, len(hashes) + 1), dtype=np.uint64)
-    for k in range(8):
-        np.cumsum(_LANES[octets[:, k]], out=out[k, 1:])
+    out = np.zeros((bits, len(hashes) + 1), dtype=np.uint64)
+    for k in range(bits):
+        octet, shift = divmod(k * per, 8)
+        np.cumsum(spread[(octets[:, octet] >> shift) & ((1 << per) - 1)], out=out[k, 1:])
     return out
 
 
 def fingerprints(sums: np.ndarray, length: int) -> np.ndarray:
     """SimHash of the ``length`` words from each position: a bit is set where at least half of the words set it."""
-    n = sums.shape[1] - length
+    bits, n = len(sums), sums.shape[1] - length
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    lift = np.uint64((128 - (length + 1) // 2) * 0x0101010101010101)
+    per, top = 64 // bits, bits - 1
+    lift, tops = np.uint64(((1 << top) - (length + 1) // 2) * _ones(bits)), np.uint64(_ones(bits) << top)
+    # Multiplied by this, the counters' top bits come together at the number's end.
+    gather = np.uint64(sum(1 << ((bits - 1) * i) for i in range(1, per + 1)))
     out = np.zeros(n, dtype=np.uint64)
     x = np.empty(n, dtype=np.uint64)
-    for k in range(8):
+    for k in range(bits):
         np.subtract(sums[k, length:], sums[k, :n], out=x)
         x += lift
-        x &= _TOPS
-        x >>= np.uint64(7)
-        x *= _GATHER
-        x >>= np.uint64(56)
-        x <<= np.uint64(8 * k)
+        x &= tops
+        x >>= np.uint64(top)
+        x *= gather
+        x >>= np.uint64(64 - per)
+        x <<= np.uint64(per * k)
         out |= x
     return out
 
@@ -147,8 +158,7 @@ class Benchmark:
         by_class: dict[int, list[tuple[int, int]]] = {}
         for i, h in enumerate(self.words):
             length = grid_length(len(h))
-            sums = lane_sums(h)
-            ends = fingerprints(sums, length)[[0, -1]]
+            ends = fingerprints(lane_sums(h, lane_bits(length)), length)[[0, -1]]
             by_class.setdefault(length, []).extend((i, int(x)) for x in dict.fromkeys(ends.tolist()))
         # Every window that is similar enough shares one of these shingles with the item: the others weigh too little.
         pairs = [(s, i) for i, h in enumerate(self.words) if len(h) >= _text.SHINGLE_WORDS for s in self._prefix(i)]
@@ -191,7 +201,7 @@ class Benchmark:
         return float(self.parts[item][hit].sum()) >= (SIMILARITY - 1e-9) * float(self.parts[item].sum())
 
     def best_window(self, item: int, hashes: np.ndarray, near: np.ndarray) -> tuple[float, int]:
-        """The most similar window of the item's length, or the whole text if that is shorter, around words ``near``."""
+        """The most similar window of the item's length, or the whole text if that is shorter, that hold one of the places ``near``."""
         n, size = len(self.words[item]), _text.SHINGLE_WORDS
         last = max(len(hashes) - n, 0)
         if n < size or not last:
@@ -235,8 +245,9 @@ class Benchmark:
     def distance(self, item: int, window: np.ndarray) -> int:
         """Bits between fingerprints of the item's ends and the nearest ones of a window, of the class's length or the window's."""
         length = min(grid_length(len(self.words[item])), len(window))
-        ends = fingerprints(lane_sums(self.words[item]), length)[[0, -1]]
-        return int(np.bitwise_count(fingerprints(lane_sums(window), length)[:, None] ^ ends).min())
+        bits = lane_bits(length)
+        ends = fingerprints(lane_sums(self.words[item], bits), length)[[0, -1]]
+        return int(np.bitwise_count(fingerprints(lane_sums(window, bits), length)[:, None] ^ ends).min())
 
     def sharing(self, fives: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, item) of all places of shingles that are among an item's rarest."""
@@ -253,16 +264,19 @@ class Benchmark:
         """(text, item, first word, similarity, distance) of the best verified window of each pair."""
         if not len(hashes):
             return
-        sums = lane_sums(hashes)
         first, size = _text.runs(number, count)
         seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for length, (items, index) in self.classes.items():
+        sums = np.empty((0, 0), dtype=np.uint64)
+        for length, (items, index) in self.classes.items():  # by length, so that counters only get wider
+            if len(sums) != (bits := lane_bits(length)):
+                sums = lane_sums(hashes, bits)
             prints = fingerprints(sums, length)
             window, who, distance = index.within(prints)
             text = number[window]
             inside = text == number[window + length - 1]
             for w, i, t, d in zip(window[inside].tolist(), items[who[inside]].tolist(), text[inside].tolist(), distance[inside].tolist()):
                 seen.setdefault((t, i), []).append((w - int(first[t]), d))
+        near = {pair: np.array([w for w, _ in hits]) for pair, hits in seen.items()}
         fives = _text.window_hash(hashes, _text.SHINGLE_WORDS)
         place, who = self.sharing(fives)
         inside = number[place] == number[place + _text.SHINGLE_WORDS - 1]
@@ -270,8 +284,9 @@ class Benchmark:
         order = np.lexsort((place, who, number[place]))
         place, who, text = place[order], who[order], number[place[order]]
         cut = np.flatnonzero(np.diff(text, prepend=-1) | np.diff(who, prepend=-1))
-        near = {(int(text[i]), int(who[i])): place[i:j] - first[text[i]] for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(who)])}
-        near |= {(t, i): np.array([w for w, _ in hits]) for (t, i), hits in seen.items() if len(self.words[i]) < _text.SHINGLE_WORDS}
+        for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(who)]):
+            pair, around = (int(text[i]), int(who[i])), place[i:j] - first[text[i]]
+            near[pair] = np.concatenate([near[pair], around]) if pair in near else around
         for (t, i), around in sorted(near.items(), key=lambda x: x[0]):
             own = hashes[first[t] : first[t] + size[t]]
             if len(self.words[i]) >= _text.SHINGLE_WORDS and not self.may_reach(i, fives[first[t] : first[t] + size[t] - _text.SHINGLE_WORDS + 1]):
@@ -324,7 +339,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     fingerprints within 11 bits, or where there is none that of the best window's. Items without words, or with a null id or
     text, match nothing, and neither do empty or null texts. Rows repeated in either table give rows each; items
     of one id are reported by that id. An empty table on either side gives an empty result. Ids of items must be
-    integers. Other columns are not read.
+    integers. A very long text is searched whole; a worker's memory is some 100 times its bytes. Other columns are not read.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").alias("text")).dropna()

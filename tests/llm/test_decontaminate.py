@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from sparkquiver.llm.decontaminate import RADIUS, Benchmark, HammingIndex, fingerprints, find_leaks, grid_length, lane_sums
+from sparkquiver.llm.decontaminate import RADIUS, Benchmark, HammingIndex, fingerprints, find_leaks, grid_length, lane_bits, lane_sums
 
 
 def test_index_finds_all_within_radius():
@@ -24,13 +24,27 @@ def test_index_finds_all_within_radius():
 
 def test_fingerprints():
     h = np.random.default_rng(1).integers(0, 1 << 63, 400, dtype=np.uint64) * np.uint64(3)
-    for length in (1, 14, 55, 173):
-        got = fingerprints(lane_sums(h), length)
-        bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
-        for at in (0, 7, len(got) - 1):
-            want = bits[at : at + length].sum(axis=0) >= (length + 1) // 2
-            assert int(got[at]) == sum(1 << i for i in range(64) if want[i])
-    assert len(fingerprints(lane_sums(h), 500)) == 0 and grid_length(1) == 1 and grid_length(40) == 35
+    bits = (h[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    for length in (1, 14, 55, 173, 255, 256, 390):
+        for width in {lane_bits(length), 16, 32}:
+            got = fingerprints(lane_sums(h, width), length)
+            for at in (0, 7, len(got) - 1):
+                want = bits[at : at + length].sum(axis=0) >= (length + 1) // 2
+                assert int(got[at]) == sum(1 << i for i in range(64) if want[i])
+    assert (lane_bits(255), lane_bits(256), lane_bits(32767), lane_bits(32768)) == (8, 16, 16, 32)
+    assert len(fingerprints(lane_sums(h, 16), 500)) == 0 and grid_length(1) == 1 and grid_length(40) == 35 and grid_length(1200) > 960
+
+
+def test_lightly_edited_windows_have_near_fingerprints():
+    """Windows of an item's own class, at any length: the multi-index alone finds the item where few words differ."""
+    rng = np.random.default_rng(8)
+    for n in (16, 40, 120, 300, 1200):
+        item = rng.integers(1, 1 << 63, n, dtype=np.uint64)
+        text = np.concatenate([rng.integers(1, 1 << 63, 50, dtype=np.uint64), item, rng.integers(1, 1 << 63, 50, dtype=np.uint64)])
+        text[50 + n // 2] = 5
+        length = grid_length(n)
+        ends = fingerprints(lane_sums(item, lane_bits(length)), length)[[0, -1]]
+        assert len(HammingIndex(ends).within(fingerprints(lane_sums(text, lane_bits(length)), length))[0]), n
 
 
 def test_against_all_windows(spark):
