@@ -2,13 +2,20 @@
 
 Candidates are long runs of characters that encodings use. For each, the smallest encoding that holds all its
 characters is inferred and three tests ask whether it may be uniform over that alphabet: chi-squared on symbol
-counts, runs above and below the middle symbol, and serial correlation. Their combined p-values are corrected by
-Benjamini and Hochberg within each class of encoding and length over the whole corpus: what is rejected is
-structured text, what is left is a secret. The step-up rule works on a histogram of p-values, which is bounded.
+counts, runs above and below the middle symbol, and serial correlation. Candidates that they reject are structured.
+
+What passes may still be an ordinary identifier that is too short to tell. So the claim that a candidate is ordinary
+is tested too: its likelihood as uniform symbols over that as an identifier, made of letters as frequent as in
+English and of changes between kinds of characters, exceeds 2^c with a probability of at most 2^-c if it is one. These
+p-values, which fall with the length, are corrected by Benjamini and Hochberg within each class of encoding and length
+over the whole corpus, so that of what is reported at most a stated share is expected to be ordinary. The step-up
+rule works on a histogram of p-values, which is bounded.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,8 +41,17 @@ ENCODINGS = (
     ("base64", r"^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
-#: Expected share of false rejections among those rejected.
-FDR = 0.05
+#: Expected share of ordinary strings among those reported, and the p-value of the battery below which a candidate is not
+#: uniform: random strings are lost as often.
+FDR, NOT_UNIFORM = 0.05, 0.001
+#: How often letters occur in English text, in per cent, from a to z (fixed values).
+LETTERS = (8.17, 1.49, 2.78, 4.25, 12.70, 2.23, 2.02, 6.09, 6.97, 0.15, 0.77, 4.03, 2.41, 6.75, 7.51, 1.93, 0.10, 5.99, 6.33, 9.06, 2.76, 0.98, 2.36, 0.15, 1.97, 0.07)
+#: Kinds of characters: lower-case letters, capitals, digits, signs. How often an identifier starts with each, and what
+#: follows each of them.
+KIND = "ludp"
+STARTS = (0.50, 0.30, 0.15, 0.05)
+FOLLOWS = ((0.86, 0.05, 0.03, 0.06), (0.45, 0.45, 0.04, 0.06), (0.05, 0.05, 0.75, 0.15), (0.55, 0.20, 0.20, 0.05))
+SIGNS = "+/-_"
 #: Bins of the p-values' histogram for each factor of ten, and the last bin.
 BINS_PER_TEN, LAST_BIN = 50, 1000
 
@@ -90,8 +106,30 @@ def randomness(candidates: DataFrame, column: str) -> DataFrame:
         "alphabet", "x", "k", "chi2", "mean", "high", "ones", "changes")
 
 
+def _costs(table: dict[str, float]) -> Column:
+    """Bits by string, for probabilities."""
+    return F.create_map(*(F.lit(x) for k, p in table.items() for x in (k, -math.log2(p))))
+
+
+def ordinary(tested: DataFrame, column: str) -> DataFrame:
+    """Adds p0: a bound on the probability that an ordinary identifier looks as random as this one."""
+    c = F.col(column)
+    share = sum(LETTERS)
+    symbols = {chr(97 + i): f / share for i, f in enumerate(LETTERS)} | {d: 1 / len(DIGITS) for d in DIGITS} | {x: 1 / len(SIGNS) for x in SIGNS}
+    steps = {a + b: FOLLOWS[i][j] for i, a in enumerate(KIND) for j, b in enumerate(KIND)} | dict(zip(KIND, STARTS))
+    kinds = F.translate(c, LOWER + UPPER + DIGITS + SIGNS, "".join(k * len(x) for k, x in zip(KIND, (LOWER, UPPER, DIGITS, SIGNS))))
+    df = tested.withColumn("kinds", kinds)
+    moves = F.concat(F.array(F.substring("kinds", 1, 1)), F.transform(F.sequence(F.lit(1), F.col("n") - 1), lambda i: F.col("kinds").substr(i, F.lit(2))))
+    letters = F.filter(F.split(F.lower(c), ""), lambda x: x != "")
+    size = F.element_at(F.create_map(*(F.lit(x) for name, _, symbols_ in ENCODINGS if symbols_ for x in (name, math.log2(len(symbols_))))), F.col("encoding"))
+    bits = _total(moves, lambda m: F.element_at(_costs(steps), m)) + _total(letters, lambda x: F.element_at(_costs(symbols), x)) - F.col("n") * size
+    return df.withColumn("p0", F.greatest(F.lit(1e-20), F.pow(F.lit(2.0), -F.greatest(bits, F.lit(0.0))))).drop("kinds")
+
+
 def rejection_levels(tested: DataFrame, fdr: float = FDR) -> DataFrame:
-    """(encoding, length_class, level): a candidate whose histogram bin is ``level`` or higher is rejected."""
+    """(encoding, length_class, level): that a candidate is ordinary is rejected if its histogram bin is ``level`` or higher.
+
+    This is the step-up rule with each p-value taken as the largest of its bin; classes where none is rejected have no row."""
     per_class = Window.partitionBy("encoding", "length_class")
     counts = tested.groupBy("encoding", "length_class", "bin").count()
     so_far = F.sum("count").over(per_class.orderBy(F.desc("bin")))
@@ -105,8 +143,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: (id, spans array<struct<start, kind_order, kind, end>>) by start, then kind.
 
     Spans count code points of the whole text, ends exclusive. ``assign``, ``access`` and ``hex`` are all matches
-    of the fixed patterns; ``random`` are candidates that the tests leave, unless a fixed pattern's span overlaps
-    them. A null or empty text has no spans. Repeated rows and null ids are rows like others. An empty table gives
+    of the fixed patterns; ``random`` are candidates that may be uniform and are not ordinary, unless a fixed pattern's
+    span overlaps them. Letters alone, digits alone, strings without letters and strings with signs of both base64 alphabets
+    are not candidates. A very long text is scanned whole. A null or empty text has no spans. Repeated rows and null ids are rows like others. An empty table gives
     an empty result. Other columns are not read.
     """
     store = Store(docs.sparkSession)
@@ -131,12 +170,13 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fixed = (F.col("kind") != "random") & ((F.col("kind") != "assign") | (F.length(F.regexp_extract("m", ASSIGN, 2)) >= ASSIGN_LEAST))
     spans = store.put(spans.select("row", "start", "kind_order", "kind", "end", "m").filter(fixed | (F.col("kind") == "random")))
     base = spans.filter(F.col("kind") != "random")
-    tested = store.put(randomness(spans.filter(F.col("kind") == "random"), "m").filter(F.col("p").isNotNull())
-                       .withColumn("length_class", F.floor(2 * F.log2("n")).cast("int"))
-                       .withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(-F.log10("p") * BINS_PER_TEN)).cast("int")))
+    # Each table is written before it is filtered: a filter pushed below would compute its column again and again.
+    battery = store.put(randomness(spans.filter(F.col("kind") == "random"), "m"))
+    bounded = store.put(ordinary(battery.filter(F.col("p") >= NOT_UNIFORM), "m"))
+    tested = store.put(bounded.withColumn("length_class", F.floor(2 * F.log2("n")).cast("int"))
+                       .withColumn("bin", F.least(F.lit(LAST_BIN), F.floor(-F.log10("p0") * BINS_PER_TEN)).cast("int")))
     levels = F.broadcast(rejection_levels(tested))  # a row per encoding and length class at most
-    random = (tested.join(levels, ["encoding", "length_class"], "left")
-              .filter(F.col("level").isNull() | (F.col("bin") < F.col("level"))))
+    random = tested.join(levels, ["encoding", "length_class"]).filter(F.col("bin") >= F.col("level"))
     clash = base.select(F.col("row").alias("b_row"), F.col("start").alias("b_start"), F.col("end").alias("b_end"))
     random = random.join(clash, (F.col("row") == F.col("b_row")) & (F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end")), "left_anti")
     keep = ["row", "start", "kind_order", "kind", "end"]
