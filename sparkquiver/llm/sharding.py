@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sparkquiver.llm._store import Store
 
 #: Rows that a source partition has on average, and the most source partitions there are.
-PARTITION_ROWS = 1 << 14
+PARTITION_ROWS = 1 << 12
 MAX_PARTITIONS = 1 << 14
 #: Slices of a shard that are permuted by tasks of their own, at about this many rows each.
 SLICE_ROWS = 1 << 14
@@ -48,14 +48,15 @@ def shard(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", t
 
     Shard sizes in rows differ by one at most. ``size`` is the UTF-8 bytes of the text and 16 more; a null text
     has no bytes and the checksum of the empty text. Rows alike in id, size and checksum are interchangeable, so
-    ties and repeated rows give the same result in any order. Null ids are rows like others. An empty table gives
-    an empty result. Other columns are not read.
+    ties and repeated rows give the same result in any order. Null ids are rows like others. A very long text
+    counts by its size alone. An empty table gives an empty result. Other columns are not read.
     """
     if shards < 1:
         raise ValueError("shards must be at least 1")
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = Store(spark).put(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"),
+    store = Store(spark)
+    rows = store.put(docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"),
                                         F.crc32(F.encode(text, "UTF-8")).alias("crc")))
     n = rows.count()
     parts = _partitions(n)
@@ -66,9 +67,8 @@ def shard(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", t
         sizes[r["part"]] = r["count"]
     # Column j of ends: the first rank in the partition that goes beyond shard j.
     ends = np.cumsum(communication_matrix(sizes, shards, seed), axis=1)
-    lines = ";".join(",".join(map(str, x)) for x in ends.tolist())
-    matrix = (spark.range(1).select(F.posexplode(F.split(F.lit(lines), ";")).alias("part", "line"))
-              .select("part", F.split("line", ",").cast("array<long>").alias("ends")))
+    lines = spark.createDataFrame([(i, ",".join(map(str, x))) for i, x in enumerate(ends.tolist())], "part int, line string")
+    matrix = store.put(lines.select("part", F.split("line", ",").cast("array<long>").alias("ends")))
     ranked = keyed.withColumn("rank", F.row_number().over(
         Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed + 1), "id", "size", "crc"), "id", "size", "crc")) - 1)
     # Ranks of one partition are 0, 1, ...: the shard is the number of ends that are not beyond the rank.
@@ -76,7 +76,7 @@ def shard(docs: DataFrame, shards: int, seed: int = 0, id_col: str = "doc_id", t
         "id", "size", "crc", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
     slices = max(1, -(-n // (shards * SLICE_ROWS)))
     second = F.xxhash64(F.lit(seed + 2), "id", "size", "crc", "shard")
-    dealt = Store(spark).put(dealt.withColumn("key", second).withColumn("slice", F.pmod(F.shiftrightunsigned("key", 32), F.lit(slices)).cast("int")))
+    dealt = store.put(dealt.withColumn("key", second).withColumn("slice", F.pmod(F.shiftrightunsigned("key", 32), F.lit(slices)).cast("int")))
     counts = dealt.groupBy("shard", "slice").count()
     before = F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("shard", "slice", before.alias("start"))
