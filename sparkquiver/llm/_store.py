@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import re
 import shutil
 import tempfile
@@ -43,13 +44,31 @@ def small_batches(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+_open: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("_open", default=None)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Delete the tables of all stores made within, at the end or on an error: what was made of them must be written by then."""
+    made: list[str] = []
+    before = _open.set(made)
+    try:
+        yield
+    finally:
+        _open.reset(before)
+        for root in made:
+            delete(spark, root)
+
+
 class Store:
-    """Written tables of one operator call."""
+    """Written tables of one operator call. They stay, as results read them, unless a ``scope`` ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self._made = 0
+        if (made := _open.get()) is not None:
+            made.append(self.root)
         self._paths: dict[int, str] = {}
 
     def put(self, df: DataFrame) -> DataFrame:

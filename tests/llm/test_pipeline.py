@@ -74,3 +74,28 @@ def test_run(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_clashing_columns_and_long_texts(spark, docs):
+    """Columns named as those that stages use themselves pass through, and a long text stays whole."""
+    names = ("id", "row", "n", "kept", "once", "first", "score", "label", "tokens", "name", "item_id", "k1", "root")
+    long = " ".join(f"long{i % 997} word{i % 13}" for i in range(60_000))
+    wide = docs.limit(40).unionByName(spark.createDataFrame([(8000, long, "en", "s", len(long))], docs.schema))
+    wide = Store(spark).put(wide.select("*", *(F.lit(i).alias(c) for i, c in enumerate(names))))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, SF)
+        assert out.columns == wide.columns
+        assert out.filter("doc_id = 8000").select("text", *names).first()[:] == (long, *range(len(names)))
+    pieces = corpus_pipeline.STAGES[-1][1](spark, wide, SF).filter("doc_id = 8000").agg(F.count("*").alias("n"), F.max("start").alias("s")).first()
+    assert pieces["n"] > 50 and pieces["s"] == 2048 * (pieces["n"] - 1)
+
+
+def test_a_run_cleans_up(spark):
+    import os
+
+    from sparkquiver.llm._store import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    corpus_pipeline.run(spark, SF).count()
+    after = set(os.listdir(shared_dir(spark))) - before
+    assert len(after) == 1  # that of the result
