@@ -26,7 +26,7 @@ from sparkquiver.llm import _text
 from sparkquiver.llm._store import Store
 
 #: Most examples of each label, those with the smallest hashes of their ids, and most telling terms.
-EXAMPLES = 4096
+EXAMPLES = 2048
 VOCABULARY = 512
 #: A term is telling if so many examples have it, as well as this share of the rarer label's (else the words of one
 #: group of copies look telling), and if its chi-squared statistic is that large (p < 1e-5).
@@ -70,7 +70,7 @@ class Vectors(NamedTuple):
     def joined(parts: list[Vectors]) -> Vectors:
         ends = np.cumsum([0] + [len(p.terms) for p in parts])
         return Vectors(np.concatenate([[0], *(p.first[1:] + e for p, e in zip(parts, ends))]).astype(np.int64), *(
-            np.concatenate([getattr(p, k) for p in parts] or [np.empty(0, dtype=t)]) for k, t in (("terms", np.int64), ("counts", np.int64), ("rest", float))))
+            np.concatenate([np.empty(0, dtype=t), *(getattr(p, k).astype(t) for p in parts)]) for k, t in (("terms", np.int32), ("counts", np.int32), ("rest", float))))
 
 
 def _counted(text: np.ndarray, term: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,7 +112,8 @@ def views(texts: list[bytes], vocabulary: np.ndarray, telling: np.ndarray) -> It
 
 def all_views(texts: list[bytes], vocabulary: np.ndarray, telling: np.ndarray) -> tuple[Vectors, Vectors]:
     found = list(views(texts, vocabulary, telling))
-    return Vectors.joined([w for w, _ in found]), Vectors.joined([t for _, t in found])
+    whole = Vectors.joined([w for w, _ in found])
+    return whole, Vectors.joined([t for _, t in found])
 
 
 def _alike(rows: np.ndarray, numbers: np.ndarray) -> list[np.ndarray]:
