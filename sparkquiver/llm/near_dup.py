@@ -9,8 +9,8 @@ The order takes a third of the shingles, chosen by hash, before the others and r
 the frequencies of that third suffice for all but small documents. Equal sets are one node from the start.
 Documents whose prefix cannot hold enough shared shingles have no link. The others are grouped into clusters that
 shared prefix shingles connect. A small cluster is one block. In a larger one documents that have their most shared
-prefix shingle in common are cut into blocks of bounded size, and each prefix shingle tells, as bits, in which blocks
-it occurs: a document meets only blocks in which one of its prefix shingles does. A task has the documents of two
+prefix shingle, their home, in common are cut into blocks of bounded size, and each prefix shingle tells, as bits, in
+which blocks it occurs: a document meets only blocks in which one of its prefix shingles does. A task has the documents of two
 blocks that meet the other one, and counts shared shingles of its pairs by products of incidence matrices. Only links
 that change components leave it, so no pairs are emitted.
 """
@@ -41,8 +41,8 @@ VERIFY_COST = 0.05
 #: Documents and shingles in a block, on average, and the most blocks of one size class of a cluster.
 BLOCK_DOCS, BLOCK_SHINGLES = 256, 200_000
 CLASS_BLOCKS = 1 << 40
-#: So many rows at most are broadcast to pick documents for verification; beyond it they are joined by a shuffle.
-BROADCAST_ROWS = 2_000_000
+#: So many rows of three numbers at most, some 40 MB, are broadcast to pick documents for verification; more are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 
 
 def needed_overlap(n: np.ndarray) -> np.ndarray:
@@ -268,11 +268,19 @@ def block_tasks(alive: DataFrame, store: Store) -> DataFrame:
     light = homes.filter("share < 0.5").join(light, ["cluster", "octave"]).select(
         "cluster", "octave", "home", F.lit(False).alias("spread"), zero.alias("base"), F.col("light").alias("parts"))
     own = F.col("base") + F.pmod(F.xxhash64(F.when(F.col("spread"), F.col("row")).otherwise(F.col("home"))), F.col("parts"))
-    placed = store.put(big.join(heavy.unionByName(light), ["cluster", "octave", "home"]).select("row", "cluster", "octave", own.alias("block"), "prefix"))
-    held = placed.select("row", "cluster", "octave", "block", F.explode("prefix").alias("token"))
-    masks = held.groupBy("token", F.col("octave").alias("there"), F.floor(F.col("block") / 64).alias("chunk")).agg(F.bit_or(_bit(F.col("block"))).alias("mask"))
-    met = held.join(store.put(masks), "token").filter(F.abs(F.col("octave") - F.col("there")) <= 1).groupBy(
-        "row", "cluster", "octave", "block", "there", "chunk").agg(F.bit_or("mask").alias("mask"))
+    placed = store.put(big.join(heavy.unionByName(light), ["cluster", "octave", "home"]).select("row", "cluster", "octave", "home", own.alias("block"), "prefix"))
+    held = placed.select("row", "cluster", "octave", "block", "home", F.explode("prefix").alias("token"))
+    masks = store.put(held.groupBy("token", F.col("octave").alias("there"), F.floor(F.col("block") / 64).alias("chunk")).agg(F.bit_or(_bit(F.col("block"))).alias("mask")))
+    near = F.abs(F.col("octave") - F.col("there")) <= 1
+    # A document meets the blocks of its home, and by its other shingles only what those add: in a group of near copies nothing.
+    of_home = masks.withColumnsRenamed({"token": "home", "mask": "of_home"})
+    adding = store.put(held.filter("token <> home").select("octave", "home", "token").distinct().join(masks, "token").filter(near)
+                       .join(of_home, ["home", "there", "chunk"], "left")
+                       .filter(F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("of_home", zero))) != 0)
+                       .select("octave", "home", "token", "there", "chunk", "mask"))
+    keys = ["row", "cluster", "octave", "block", "there", "chunk"]
+    met = placed.join(of_home, "home").filter(near).select(*keys, F.col("of_home").alias("mask")).unionByName(
+        held.join(adding, ["octave", "home", "token"]).select(*keys, "mask")).groupBy(*keys).agg(F.bit_or("mask").alias("mask"))
     bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("mask").bitwiseAND(_bit(k)) != 0)
     met = met.select("row", "cluster", (F.col("octave") * F.lit(CLASS_BLOCKS) + F.col("block")).alias("block"),
                      F.explode(F.transform(bits, lambda k: F.col("there") * F.lit(CLASS_BLOCKS) + F.col("chunk") * 64 + k)).alias("other"))
