@@ -183,10 +183,21 @@ def _digest(text: str) -> str:
 
 
 def digests_of(text: str, longest: int) -> tuple[str, list[str]]:
-    """Digest of the whole canonical text, and the distinct ones of its lines of at most ``longest`` code points."""
+    """Digest of the whole canonical text, and the distinct ones of its lines and paragraphs of at most ``longest`` code points.
+
+    A paragraph is a run of lines that have words."""
     lines = [_words(line) for line in _prepared(text).split("\n")]
     whole = _joined([w for line in lines for w in line])
-    texts = {_joined(line) for line in lines if line and sum(map(len, line)) <= longest}
+    parts, paragraph = [], []
+    for line in [*lines, []]:
+        if line:
+            parts.append(line)
+            paragraph.append(line)
+        else:
+            if len(paragraph) > 1:
+                parts.append([w for x in paragraph for w in x])
+            paragraph = []
+    texts = {_joined(words) for words in parts if sum(map(len, words)) <= longest}
     return _digest(whole), sorted(_digest(t) for t in texts if t and len(t) <= longest)
 
 
@@ -213,8 +224,8 @@ def find_licenses(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, i
     """One row per input row: (id, canonical_sha256, text_license, licenses).
 
     ``canonical_sha256`` is the digest of the whole canonical text, ``text_license`` the licence whose text that is
-    (else null), and ``licenses`` the sorted distinct licences of the whole text and of its lines, an empty array if
-    there are none. A null text counts as empty; an empty text, or one of copyright lines and punctuation alone, is no
+    (else null), and ``licenses`` the sorted distinct licences of the whole text, of its lines and of its paragraphs, an
+    empty array if there are none. A null text counts as empty; an empty text, or one of copyright lines and punctuation alone, is no
     licence. Repeated rows and null ids are rows like others. An empty table gives an empty result. ``known``
     (licence, text) and ``full`` (licence, length, digest) must be lists of bounded size: they are sent with the query. Other columns are not read.
     """

@@ -1,6 +1,7 @@
 """Canonical digests."""
 
 import hashlib
+import random
 import textwrap
 from pathlib import Path
 
@@ -40,6 +41,27 @@ def test_wrapped_anywhere():
     assert canonical_text(items) == "c you must retain copyright holders copyrighted works copyright notice"
 
 
+def test_against_a_plain_search():
+    """Digests of generated documents against canonical forms of every line, paragraph and whole text, one by one."""
+    rng, known = random.Random(2), known_digests()
+    names = {canonical_text(t): n for n, t in KNOWN}
+    found = 0
+    for _ in range(150):
+        blocks = []
+        for _ in range(rng.randrange(1, 5)):
+            kind, (_, text) = rng.randrange(4), rng.choice(KNOWN)
+            one = " ".join(text.split())
+            blocks.append(["prose of no licence at all", one, "\n".join(textwrap.wrap(one, 60)), one + " and more"][kind])
+        doc = "\n\n".join(blocks)
+        paragraphs = [b for b in doc.split("\n\n")]
+        want = {names[c] for c in map(canonical_text, [doc, *paragraphs, *doc.split("\n")]) if c in names}
+        whole, parts = digests_of(doc, 50_000)
+        got = {known[d] for d in (whole, *parts) if d in known}
+        assert want <= got and all(any(names.get(canonical_text(p)) == n for p in (doc, *paragraphs, *doc.split("\n"))) or n in {m for m, _, _ in FULL} for n in got)
+        found += len(want)
+    assert found > 150
+
+
 def test_titles():
     known = known_digests()
     body = {n: t for n, t in KNOWN if n in ("BSD-2-Clause", "BSD-3-Clause") and len(t) > 500}
