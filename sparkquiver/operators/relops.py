@@ -28,16 +28,27 @@ def visible(nodes: DataFrame, edges: DataFrame, clean: bool = False) -> DataFram
     return out.join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select(edges.columns)
 
 
+#: Ends within a range of 2 to this power are ranked by one task; a hub has many such ranges.
+RANGE_BITS = 20
+
+
+def _ordered(edges: DataFrame, near: str, far: str) -> DataFrame:
+    """(id, ord, neighbor) by (far, edge_id): ranks within ranges of ``far``, after the counts of the ranges before."""
+    edges = edges.select(F.col(near).alias("id"), F.col(far).alias("neighbor"), "edge_id", F.shiftright(far, RANGE_BITS).alias("range"))
+    before = F.sum("count").over(Window.partitionBy("id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = edges.groupBy("id", "range").count().select("id", "range", F.coalesce(before, F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy("id", "range").orderBy("neighbor", "edge_id")) - 1
+    return edges.withColumn("rank", rank).join(starts, ["id", "range"]).select("id", (F.col("start") + F.col("rank")).cast("long").alias("ord"), "neighbor")
+
+
 def neighbors(visible_edges: DataFrame) -> DataFrame:
     """(id, ord, neighbor): out-neighbours in order of destination, then edge id; parallel edges repeat."""
-    order = Window.partitionBy("src").orderBy("dst", "edge_id")
-    return visible_edges.select(F.col("src").alias("id"), (F.row_number().over(order) - 1).cast("long").alias("ord"), F.col("dst").alias("neighbor"))
+    return _ordered(visible_edges, "src", "dst")
 
 
 def in_neighbors(visible_edges: DataFrame) -> DataFrame:
     """(id, ord, neighbor): in-neighbours in order of source."""
-    order = Window.partitionBy("dst").orderBy("src", "edge_id")
-    return visible_edges.select(F.col("dst").alias("id"), (F.row_number().over(order) - 1).cast("long").alias("ord"), F.col("src").alias("neighbor"))
+    return _ordered(visible_edges, "dst", "src")
 
 
 def neighbors_materialized(visible_edges: DataFrame) -> DataFrame:

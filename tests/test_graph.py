@@ -293,3 +293,14 @@ def test_no_private_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         storage.shared_dir(Session)
+
+
+def test_a_hub_is_ranked_by_ranges(spark, monkeypatch):
+    from sparkquiver.operators import relops
+
+    monkeypatch.setattr(relops, "RANGE_BITS", 3)
+    g = build(spark, 100, [(0, 7 * i % 100) for i in range(1, 90)] + [(1, 5)])
+    for ranked, near in ((relops.neighbors(g.visible), 0), (relops.in_neighbors(g.visible), 5)):
+        rows = sorted((r["ord"], r["neighbor"]) for r in ranked.collect() if r["id"] == near)
+        assert [o for o, _ in rows] == list(range(len(rows))) and [n for _, n in rows] == sorted(n for _, n in rows)
+        assert len(rows) == (89 if near == 0 else 2)
