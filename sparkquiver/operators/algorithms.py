@@ -19,6 +19,10 @@ from sparkquiver.functions.kernels import Csr
 from sparkquiver.plans import storage
 
 
+#: Rounds after which the tables of nodes seen so far are made one.
+MERGE_ROUNDS = 8
+
+
 class CancelToken:
     """A sticky, thread-safe flag; operations look at it between rounds."""
 
@@ -77,6 +81,7 @@ def bfs(edges: DataFrame, start: int, ctx: Context | None = None) -> DataFrame:
 
         return _in_one_task(edges, run, "pos long, id long, level long")
     folder = storage.new_folder(spark, "bfs")
+    edges = storage.written(edges.select("src", "dst").distinct(), f"{folder}/edges")  # once, not in every round
     # "place" grows in queue order within a level; it need not be dense until the end.
     front = storage.written(spark.sql(f"SELECT CAST({int(start)} AS LONG) AS id, 0L AS place, 0L AS level"), f"{folder}/0")
     seen, level = front, 0
@@ -89,6 +94,8 @@ def bfs(edges: DataFrame, start: int, ctx: Context | None = None) -> DataFrame:
         ordered = fresh.orderBy("parent", "dst").select(F.col("dst").alias("id"), F.monotonically_increasing_id().alias("place"), F.lit(level).cast("long").alias("level"))
         front = storage.written(ordered, f"{folder}/{level}")
         seen = seen.unionByName(front)
+        if level % MERGE_ROUNDS == 0:
+            seen = storage.written(seen, f"{folder}/seen-{level}")
     return _dense(seen)
 
 
@@ -138,21 +145,26 @@ def has_cycle(edges: DataFrame, ctx: Context | None = None) -> bool:
     ctx.check()
     spark = edges.sparkSession
     edges = edges.select("src", "dst")
-    folder, rounds = None, 0
-    while not _small(edges, ctx):
-        # Peel: an edge on a cycle starts where another ends, and ends where another starts.
-        if folder is None:
-            folder = storage.new_folder(spark, "cycle")
-            if not edges.filter("src = dst").isEmpty():
+    if not _small(edges, ctx):
+        folder, rounds = storage.new_folder(spark, "cycle"), 0
+        edges = storage.written(edges.distinct(), f"{folder}/0")
+        if not edges.filter("src = dst").isEmpty():
+            return True
+        n = edges.count()
+        while n > ctx.local_edges:
+            ctx.check()
+            # Peel: an edge on a cycle starts where another ends, and ends where another starts. Two layers from each side a round.
+            left = edges
+            for _ in range(2):
+                left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+                left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            rounds += 1
+            edges, before = storage.written(left, f"{folder}/{rounds}"), n
+            n = edges.count()
+            if n == before:
                 return True
-        ctx.check()
-        left = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        left = left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        before = edges.count()
-        edges = storage.written(left, f"{folder}/{rounds}")
-        rounds += 1
-        if edges.count() == before:
-            return before > 0
+        if not n:
+            return False
     ctx.check()
 
     def run(src, dst):
