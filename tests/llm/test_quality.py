@@ -10,7 +10,7 @@ def test_statistics():
     s = {n: statistics(texts)[:, i] for i, n in enumerate(FEATURES)}
     assert (statistics(texts)[0] == 0).all()
     assert s["distinct_lines"][1] == 0.5 and s["distinct_words"][1] == 3 / 6 and abs(s["log_words"][1] - np.log(7)) < 1e-12
-    assert s["exclamation"][2] > 0 and s["bar"][2] > 0 and s["longest_word"][3] == 200
+    assert s["exclamation"][2] > 0 and s["bar"][2] > 0 and s["longest_word"][3] == 500
     assert np.array_equal(statistics(texts[::-1])[::-1], statistics(texts))
 
 
