@@ -420,7 +420,7 @@ def dfs_order_tree(spark, sf_dir):
 
 _STACK = """, adj AS (SELECT src, list(DISTINCT dst ORDER BY dst DESC) AS ns FROM v GROUP BY src),
  s(step, stack, seen) AS (SELECT 0, [0::BIGINT], []::BIGINT[] UNION ALL
-  SELECT step + 1, list_concat(list_slice(stack, 1, len(stack) - 1), CASE WHEN list_contains(seen, stack[-1]) THEN [] ELSE coalesce(ns, []) END),
+  SELECT step + 1, list_concat(list_slice(stack, 1, len(stack) - 1), CASE WHEN list_contains(seen, stack[-1]) THEN [] ELSE coalesce(list_filter(ns, lambda x: NOT list_contains(seen, x)), []) END),
    CASE WHEN list_contains(seen, stack[-1]) THEN seen ELSE list_append(seen, stack[-1]) END FROM s LEFT JOIN adj ON adj.src = s.stack[-1] WHERE len(stack) > 0),
  z AS (SELECT seen FROM s WHERE len(stack) = 0)"""
 
