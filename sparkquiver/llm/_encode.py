@@ -31,9 +31,9 @@ from sparkquiver.llm import _text
 
 #: Distinct units that a worker remembers, some 40 bytes each; beyond that it starts anew. This bounds memory, not the
 #: result.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 300_000
 #: Bytes of text that are split into units at a time.
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 1 << 18
 #: Longer units are encoded without being remembered.
 UNIT_BYTES = 256
 
@@ -108,7 +108,9 @@ class TokenizerFile:
         self.name = os.path.basename(path)
         self.kind = unit_kind(self.name, self.data)
         #: Tokens that the file adds, which are looked for in texts as written.
-        self.added = [] if self.kind == WHOLE else [t["content"].encode() for t in json.loads(self.data).get("added_tokens") or ()]
+        spec = {} if self.kind == WHOLE else json.loads(self.data)
+        self.added = [t["content"].encode() for t in spec.get("added_tokens") or ()]
+        self.suffix: str | None = (spec.get("model") or {}).get("end_of_word_suffix")
 
     @property
     def version(self) -> str:
@@ -160,9 +162,10 @@ class Encoder:
             model.no_truncation()
             model.no_padding()
             self._encode = lambda texts: (e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False))
-            if self.kind == WORDS and (suffix := json.loads(file.data)["model"].get("end_of_word_suffix")):
-                self.ends_unit = np.zeros(model.get_vocab_size(), dtype=bool)
-                self.ends_unit[[i for t, i in model.get_vocab().items() if t.endswith(suffix)]] = True
+            if self.kind == WORDS and file.suffix:
+                ends = [i for t, i in model.get_vocab().items() if t.endswith(file.suffix)]
+                self.ends_unit = np.zeros(max(ends, default=0) + 1, dtype=bool)
+                self.ends_unit[ends] = True
             elif self.kind == LEADING and len(line := next(iter(self._encode(["\n"])))) == 1:
                 self.line = line[0]
         else:
@@ -189,7 +192,7 @@ class Encoder:
                 if self.ends_unit is None:
                     return None
                 ids = np.array(next(iter(self._encode([b" ".join(part).decode()]))), dtype=np.uint32)
-                ends = np.flatnonzero(self.ends_unit[ids]) + 1
+                ends = np.flatnonzero(self.ends_unit[np.minimum(ids, len(self.ends_unit) - 1)] & (ids < len(self.ends_unit))) + 1
                 sizes.append(np.diff(ends, prepend=0))
             else:
                 if self.line is None:
@@ -346,4 +349,5 @@ def encoder(file: TokenizerFile, counts_only: bool) -> Encoder:
     if key not in _encoders:
         _encoders.clear()
         _encoders[key] = Encoder(file, counts_only)
+        _text.release()  # what reading the file took
     return _encoders[key]

@@ -190,8 +190,9 @@ def tidy(run, keeps: str = ""):
 
     def tidied(batches):
         for name, cache in HELD.items():
-            if name != keeps:
+            if cache and name != keeps:
                 cache.clear()
+                release()
         try:
             yield from run(batches)
         finally:

@@ -39,7 +39,7 @@ ROWS, AHEAD = 128, 8
 #: Places whose largest score stands for them in the estimate of the k-th best.
 GROUP = 16
 #: Postings that are added up at a time.
-HITS = 1 << 20
+HITS = 1 << 18
 #: Distances that count as none in votes of whole texts, so that a copy outweighs all others, and of telling terms.
 COPY, TOLD = 0.001, 0.01
 _EPS = 1e-5
