@@ -1,8 +1,9 @@
 """Traversals and cycle detection with cooperative cancellation.
 
-Graphs of up to ``Context.local_edges`` visible edges are handled by one task with array kernels, as rounds of
+Graphs of up to ``Context.most_edges`` visible edges are handled by one task with array kernels, as rounds of
 joins would cost far more. Larger ones are handled by rounds of joins over the distributed edges; each round's
-state is written, so lineage stays short and lost executors cost one round at most.
+state is written, so lineage stays short and lost executors cost one round at most. Depth-first order of larger
+ones is one task too, which keeps the edges in a file of its own.
 """
 
 from __future__ import annotations
@@ -15,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkquiver.errors import Cancelled, UnsupportedOperation
-from sparkquiver.functions.kernels import Csr
+from sparkquiver.functions.kernels import Csr, FileCsr
 from sparkquiver.plans import storage
 
 
 #: Rounds after which the tables of nodes seen so far are made one.
 MERGE_ROUNDS = 8
+#: Edges that one task holds in memory.
+LOCAL_EDGES = 2_000_000
 
 
 class CancelToken:
@@ -39,10 +42,15 @@ class CancelToken:
 
 @dataclass
 class Context:
-    """How a call runs. ``local_edges``: the most edges that one task takes."""
+    """How a call runs. ``local_edges``: a bound of the caller's on the edges that one task takes; depth-first order
+    refuses to go beyond it. Without one a task holds up to ``LOCAL_EDGES`` in memory, and nothing is refused."""
 
     cancel_token: CancelToken | None = None
-    local_edges: int = 2_000_000
+    local_edges: int | None = None
+
+    @property
+    def most_edges(self) -> int:
+        return LOCAL_EDGES if self.local_edges is None else self.local_edges
 
     def check(self) -> None:
         if self.cancel_token is not None and self.cancel_token.is_cancelled:
@@ -60,7 +68,7 @@ def _in_one_task(edges: DataFrame, run, schema: str) -> DataFrame:
 
 
 def _small(edges: DataFrame, ctx: Context) -> bool:
-    return edges.limit(ctx.local_edges + 1).count() <= ctx.local_edges
+    return edges.limit(ctx.most_edges + 1).count() <= ctx.most_edges
 
 
 def bfs(edges: DataFrame, start: int, ctx: Context | None = None) -> DataFrame:
@@ -118,7 +126,8 @@ def reachable(edges: DataFrame, start: int, ctx: Context | None = None) -> DataF
 def dfs(edges: DataFrame, start: int, ctx: Context | None = None) -> DataFrame:
     """(pos, id) in pre-order of a recursive depth-first search with neighbours in ascending order.
 
-    The order is inherently sequential: the edges that ``start`` reaches must fit one task (``local_edges``).
+    The order is inherently sequential, so one task walks it. Of a graph too large for its memory it holds some 60
+    bytes a node, and the edges in a file. Only a bound that the caller gave (``local_edges``) is refused beyond.
     """
     ctx = ctx or Context()
     ctx.check()
@@ -126,6 +135,8 @@ def dfs(edges: DataFrame, start: int, ctx: Context | None = None) -> DataFrame:
     if edges.filter(F.col("src") == start).isEmpty():
         return spark.sql(f"SELECT 0L AS pos, CAST({int(start)} AS LONG) AS id")
     if not _small(edges, ctx):
+        if ctx.local_edges is None:
+            return _dfs_by_file(edges, start, ctx)
         near = reachable(edges, start, ctx)
         edges = edges.join(near.withColumnRenamed("id", "src"), "src", "left_semi")
         ctx.check()
@@ -139,6 +150,26 @@ def dfs(edges: DataFrame, start: int, ctx: Context | None = None) -> DataFrame:
     return _in_one_task(edges, run, "pos long, id long")
 
 
+def _dfs_by_file(edges: DataFrame, start: int, ctx: Context) -> DataFrame:
+    """``dfs`` by one task that streams the edges, sorted by all tasks before, into a file."""
+    # "place" is the edge's place in the order, with gaps between tasks; it puts right whatever order the files are read in.
+    ordered = edges.select("src", "dst").orderBy("src", "dst").withColumn("place", F.monotonically_increasing_id())
+    ordered = storage.written(ordered, f"{storage.new_folder(edges.sparkSession, 'dfs')}/edges")
+    ctx.check()
+
+    def task(batches):
+        with FileCsr() as graph:
+            for b in batches:
+                graph.add(*(b.column(c).to_numpy() for c in ("place", "src", "dst")))
+            at = 0
+            for ids in graph.dfs(start):
+                yield pa.record_batch({"pos": pa.array(range(at, at + len(ids)), pa.int64()), "id": pa.array(ids)})
+                at += len(ids)
+
+    # Walked once: whoever reads the order, and whatever reads it twice, reads what was written.
+    return storage.written(ordered.coalesce(1).mapInArrow(task, "pos long, id long"), storage.new_folder(edges.sparkSession, "dfs"))
+
+
 def has_cycle(edges: DataFrame, ctx: Context | None = None) -> bool:
     """Whether visible ``edges`` hold a directed cycle; a self-loop is one."""
     ctx = ctx or Context()
@@ -151,7 +182,7 @@ def has_cycle(edges: DataFrame, ctx: Context | None = None) -> bool:
         if not edges.filter("src = dst").isEmpty():
             return True
         n = edges.count()
-        while n > ctx.local_edges:
+        while n > ctx.most_edges:
             ctx.check()
             # Peel: an edge on a cycle starts where another ends, and ends where another starts. Two layers from each side a round.
             left = edges
