@@ -356,11 +356,12 @@ class Graph:
         if found:
             raise CorruptGraph(Violation(*found[0]))
 
-    def debug_validate(self, context: Context | None = None, limit: int = 10_000) -> list[Violation]:
-        """Up to ``limit`` violations; ``violations`` has all, as a DataFrame."""
+    def debug_validate(self, context: Context | None = None, limit: int | None = None) -> list[Violation]:
+        """All violations, or up to ``limit``. Use ``violations`` where they may be too many for the driver."""
         self._store.check_open()
         (context or Context()).check()
-        return [Violation(*r) for r in self.violations().limit(limit).collect()]
+        found = self.violations()
+        return [Violation(*r) for r in (found if limit is None else found.limit(limit)).collect()]
 
     # -- end -------------------------------------------------------------------
 

@@ -2,7 +2,9 @@
 
 import pytest
 
+from sparkquiver.graph import Graph
 from sparkquiver.operators import validate
+from sparkquiver.schema import GraphOptions
 
 NODES = "id long, removed boolean, next_edge_id long"
 EDGES = "src long, dst long, relation int, flags int, edge_id long"
@@ -40,3 +42,13 @@ def test_copies_and_cached_numbers(spark):
 
 def test_all_kinds_have_names():
     assert len(validate.LOGICAL_KINDS + validate.PHYSICAL_KINDS) == len(set(validate.LOGICAL_KINDS + validate.PHYSICAL_KINDS)) == 30
+
+
+def test_debug_validate_lists_all(spark):
+    n = 10_001  # one more than an earlier default
+    nodes = spark.range(n).selectExpr("id", "false AS removed", "2L AS next_edge_id")
+    edges = spark.range(n).selectExpr("id AS src", "1000000L AS dst", "0 AS relation", "0 AS flags", "1L AS edge_id")
+    g = Graph.adopt(spark, nodes, edges, GraphOptions(multigraph=True))
+    with g.snapshot() as s:
+        assert len(g.debug_validate()) == len(s.debug_validate()) == g.violations().count() == n
+        assert len(g.debug_validate(limit=3)) == len(s.debug_validate(limit=3)) == 3
