@@ -324,6 +324,22 @@ class Graph:
                 self._store.publish(v, {"deleted": self._tombstones(v, v.edges(self.spark), picked)})
             return n
 
+    def repair_until_none(self, max_nodes: int) -> int:
+        """Do what calls of ``repair_budgeted(max_nodes)`` until nothing is left do, as one version; returns how many would find work.
+
+        A node's repair deletes only edges between it and removed nodes, so no call depends on those before, and the
+        deletions of all are found at once: the jobs do not grow in number with the nodes.
+        """
+        with self._store.writing() as v:
+            if max_nodes <= 0:
+                return 0
+            edges = v.edges(self.spark)
+            owing = storage.written(relops.debt(v.nodes(self.spark), edges).select("id"), storage.new_folder(self.spark, "owing"))
+            n = owing.count()
+            if n:
+                self._store.publish(v, {"deleted": self._tombstones(v, edges, owing)})
+            return -(-n // max_nodes)
+
     def flush_repairs(self) -> RepairFlushSummary:
         """Repair all nodes by rewriting the graph's segments into one for each table."""
         with self._store.writing() as v:

@@ -382,8 +382,7 @@ def repair_until_none(spark, sf_dir):
     before = g.debt().count()
     g.repair_budgeted(7)
     after = g.debt().count()
-    while g.repair_budgeted(1000):
-        pass
+    g.repair_until_none(1000)
     return _one(spark, before_repair=before, after_one=after, after_all=g.debt().count())
 
 

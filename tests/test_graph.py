@@ -304,3 +304,24 @@ def test_a_hub_is_ranked_by_ranges(spark, monkeypatch):
         rows = sorted((r["ord"], r["neighbor"]) for r in ranked.collect() if r["id"] == near)
         assert [o for o, _ in rows] == list(range(len(rows))) and [n for _, n in rows] == sorted(n for _, n in rows)
         assert len(rows) == (89 if near == 0 else 2)
+
+
+def test_repair_until_none_is_all_calls_at_once(spark):
+    def owing():
+        b = GraphBuilder(spark, GraphOptions(multigraph=True))
+        b.add_nodes(12)
+        for a, z in [(i, (i * 5 + k) % 12) for i in range(12) for k in (1, 1, 4)]:
+            b.add_edge(a, z)
+        g = b.freeze()
+        g.remove_nodes_df(spark.createDataFrame([(3,), (4,), (7,)], "id long"))
+        return g
+
+    one, many = owing(), owing()
+    calls = 0
+    while many.repair_budgeted(1):
+        calls += 1
+    before = one._store.head.number
+    assert calls > 2 and one.repair_until_none(0) == 0 and one.repair_until_none(1) == calls
+    assert one._store.head.number == before + 1 and one.repair_until_none(1) == 0 and one.debt().isEmpty()
+    rows = [sorted(tuple(r) for r in g.edges.collect()) for g in (one, many)]
+    assert rows[0] == rows[1] != []
