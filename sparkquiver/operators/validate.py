@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkquiver.operators import relops
@@ -25,9 +25,17 @@ PHYSICAL_KINDS = (
 _COLUMNS = ("node", "dst", "edge_id", "expected", "actual")
 
 
-def _found(df: DataFrame, kind: str, **columns) -> DataFrame:
+#: Edges of both copies that one task counts by pair.
+PAIR_ROWS = 1_000_000
+
+
+def _side(edges: DataFrame, n: int, m: int) -> DataFrame:
+    return edges.select("src", "dst", F.lit(n).cast("long").alias("n"), F.lit(m).cast("long").alias("m"))
+
+
+def _found(df: DataFrame, kind: str | Column, **columns) -> DataFrame:
     null = F.lit(None).cast("long")
-    return df.select(F.lit(kind).alias("kind"), *((columns[c].cast("long") if c in columns else null).alias(c) for c in _COLUMNS))
+    return df.select((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), *((columns[c].cast("long") if c in columns else null).alias(c) for c in _COLUMNS))
 
 
 def violations(nodes: DataFrame, edges: DataFrame, multigraph: bool, reverse: DataFrame | None = None, degrees: DataFrame | None = None,
@@ -56,13 +64,16 @@ def violations(nodes: DataFrame, edges: DataFrame, multigraph: bool, reverse: Da
         found.append(_found(relops.multiplicity(edges).filter("n > 1"), "unsorted_block", node=src, dst=dst, expected=F.lit(1), actual=F.col("n")))
     seen = relops.visible(nodes, edges)
     if reverse is not None:
-        fwd, rev = relops.multiplicity(seen), relops.multiplicity(relops.visible(nodes, reverse)).withColumnRenamed("n", "m")
-        pairs = fwd.join(rev, ["src", "dst"], "full_outer").select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m"))
-        one = (F.col("n") == 0) | (F.col("m") == 0)
-        found.append(_found(pairs.filter(one), "forward_reverse_mismatch", node=src, dst=dst, expected=F.col("n"), actual=F.col("m")))
-        found.append(_found(pairs.filter(~one & (F.col("n") != F.col("m"))), "forward_reverse_multiplicity_mismatch", node=src, dst=dst, expected=F.col("n"), actual=F.col("m")))
-        totals = pairs.agg(F.sum("n").alias("n"), F.sum("m").alias("m")).filter("n <> m")
+        both = _side(seen, 1, 0).unionByName(_side(relops.visible(nodes, reverse), 0, 1))
+        sums = (F.sum("n").alias("n"), F.sum("m").alias("m"))
+        totals = both.agg(*sums).filter("n <> m")
         found.append(_found(totals, "forward_reverse_count_mismatch", expected=F.col("n"), actual=F.col("m")))
+        # One table of counts for both kinds. Tasks take a number of edges that is bounded, however many there are.
+        parts = max(1, -(-both.count() // PAIR_ROWS))
+        pairs = both.repartition(parts, "src", "dst").groupBy("src", "dst").agg(*sums).filter("n <> m")
+        one = (F.col("n") == 0) | (F.col("m") == 0)
+        kind = F.when(one, "forward_reverse_mismatch").otherwise("forward_reverse_multiplicity_mismatch")
+        found.append(_found(pairs, kind, node=src, dst=dst, expected=F.col("n"), actual=F.col("m")))
         left = reverse.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi").join(gone.withColumnRenamed("id", "src"), "src", "left_semi")
         found.append(_found(left, "removed_node_has_reverse_residual", node=dst, dst=src))
     if degrees is not None:

@@ -62,6 +62,12 @@ def _transitions(spark, sf_dir):
     return _cut(nodes), _numbered(edges, "dst", "ts", "event_id")
 
 
+def _kept(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both written once, so that the many branches of a validation do not each make and sort the edges anew in one task."""
+    folder = storage.new_folder(nodes.sparkSession, "kept")
+    return storage.written(nodes, f"{folder}/nodes"), storage.written(edges.select("src", "dst", "edge_id"), f"{folder}/edges")
+
+
 def _simple(edges: DataFrame) -> DataFrame:
     return edges.withColumn("edge_id", F.lit(None).cast("long"))
 
@@ -536,7 +542,7 @@ _COPY = f"""WITH {_T}, w AS (SELECT src, dst, count(*) AS n FROM e GROUP BY src,
 @query(_COPY)
 def violations_of_copies(spark, sf_dir):
     nodes, edges = datasets.transitions(spark, sf_dir)
-    edges = _numbered(edges, "dst", "ts", "event_id")
+    nodes, edges = _kept(nodes, _numbered(edges, "dst", "ts", "event_id"))
     times = F.when(F.col("dst") == 5, 0).when(F.col("dst") == 6, 2).otherwise(1)
     reverse = edges.select("src", "dst", F.explode(F.array_repeat(F.lit(1), times))).select("src", "dst").unionByName(spark.sql("SELECT 1000000L AS src, 5L AS dst"))
     degrees = relops.out_degree(nodes, edges).withColumnRenamed("degree", "out_degree").join(relops.in_degree(nodes, edges).withColumnRenamed("degree", "in_degree"), "id")
@@ -563,7 +569,7 @@ def violations_of_removed(spark, sf_dir):
  UNION ALL SELECT 'edge_id_counter_regressed', src, 1 FROM x GROUP BY src HAVING max(edge_id) >= 10""")
 def violations_injected(spark, sf_dir):
     nodes, edges = datasets.transitions(spark, sf_dir)
-    bad = _numbered(edges, "dst", "ts", "event_id")
+    nodes, bad = _kept(nodes, _numbered(edges, "dst", "ts", "event_id"))
     bad = bad.withColumn("dst", F.when(F.col("edge_id") == 2, 1000000).otherwise(F.col("dst"))).withColumn(
         "edge_id", F.when(F.col("edge_id") == 3, 4).when(F.col("edge_id") == 5, 0).otherwise(F.col("edge_id")))
     found = validate.violations(nodes.withColumn("next_edge_id", F.lit(10).cast("long")), bad, True)

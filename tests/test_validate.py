@@ -4,6 +4,7 @@ import pytest
 
 from sparkquiver.graph import Graph
 from sparkquiver.operators import validate
+from sparkquiver.queries import QUERIES
 from sparkquiver.schema import GraphOptions
 
 NODES = "id long, removed boolean, next_edge_id long"
@@ -52,3 +53,18 @@ def test_debug_validate_lists_all(spark):
     with g.snapshot() as s:
         assert len(g.debug_validate()) == len(s.debug_validate()) == g.violations().count() == n
         assert len(g.debug_validate(limit=3)) == len(s.debug_validate(limit=3)) == 3
+
+
+def test_copies_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(validate, "PAIR_ROWS", 2)
+    fwd = [(i, i + 1, 0, 0, k) for i in range(20) for k in (1, 2)]
+    rev = spark.createDataFrame([(s, d) for s, d, *_ in fwd if s != 4] + [(9, 10), (19, 0)], "src long, dst long")
+    nodes = [(i, False, 5) for i in range(21)]
+    assert kinds(spark, nodes, fwd, True, reverse=rev) == [("forward_reverse_mismatch", 4), ("forward_reverse_mismatch", 19), ("forward_reverse_multiplicity_mismatch", 9)]
+    both = kinds(spark, nodes, fwd, True, reverse=rev.filter("src <> 9"))
+    assert ("forward_reverse_count_mismatch", None) in both and ("forward_reverse_mismatch", 9) in both
+
+
+@pytest.mark.parametrize("name", ["violations_of_copies"])
+def test_branches_do_not_sort_the_edges_anew(spark, sf_dir, name):
+    assert "Window" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
