@@ -556,7 +556,7 @@ def violations_of_copies(spark, sf_dir):
  SELECT 'removed_node_has_outgoing' AS kind, src AS node, count(*) AS n FROM p GROUP BY src
  UNION ALL SELECT 'removed_node_has_reverse_residual', dst, count(*) FROM p GROUP BY dst""")
 def violations_of_removed(spark, sf_dir):
-    nodes, edges = _transitions(spark, sf_dir)
+    nodes, edges = _kept(*_transitions(spark, sf_dir))
     found = validate.violations(nodes.withColumn("next_edge_id", F.lit(1 << 40)), edges, True, reverse=edges.select("src", "dst"))
     return found.groupBy("kind", "node").agg(F.count("*").alias("n"))
 

@@ -65,6 +65,6 @@ def test_copies_are_counted_in_parts(spark, monkeypatch):
     assert ("forward_reverse_count_mismatch", None) in both and ("forward_reverse_mismatch", 9) in both
 
 
-@pytest.mark.parametrize("name", ["violations_of_copies"])
+@pytest.mark.parametrize("name", ["violations_of_copies", "violations_of_removed"])
 def test_branches_do_not_sort_the_edges_anew(spark, sf_dir, name):
     assert "Window" not in QUERIES[name](spark, sf_dir)._jdf.queryExecution().toString()
